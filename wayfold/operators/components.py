@@ -5,20 +5,22 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from files in the shared checkpoint folder: lineage ends there and lost executors cost nothing.
-
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is set only where there is none.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in the session's ``spark.checkpoint.dir``; one of our own is set only where there is none."""
     sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "wayfold-checkpoints"))
+    return where or sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from files in the shared checkpoint folder: lineage ends there and lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
