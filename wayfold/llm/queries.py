@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import language_id, quality_model, quality_rules, simhash, token_counts, url_filter
+from wayfold.llm import decontaminate, language_id, line_dedup, quality_model, quality_rules, sentence_pieces, simhash, span_dedup, token_counts, url_filter
 from wayfold.llm.common import table
 
 #: host, path, verdict.
@@ -23,6 +23,10 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).alias("grade"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.grade(docs, quality_model.fit(docs, grades(table(spark, sf_dir, "labels"))))
@@ -34,6 +38,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = span_dedup.covered(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.size("removed").alias("n_removed"), "removed", "first_ids")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES)
 
@@ -50,9 +63,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], with_ids=False).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_classifier, op3_language_id, op6_url_filters, op7_simhash, op8_token_counts, op9_quality_rules)
+    for f in (
+        op1_decontamination,
+        op2_quality_classifier,
+        op3_language_id,
+        op4_substring_dedup,
+        op5_line_dedup,
+        op6_url_filters,
+        op7_simhash,
+        op8_token_counts,
+        op9_quality_rules,
+        op10_sentence_pieces,
+    )
 }
 
 ORACLE: dict[str, str] = {
