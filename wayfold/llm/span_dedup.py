@@ -1,7 +1,8 @@
 """Substring dedup over sentence spans: sentences covered by a repeated run of sentences go, but for its first place.
 
 A sentence ends behind ``.``, ``!`` or ``?`` with the marks that close it, before a blank, and at a line end; one with more than
-``LONGEST`` words is cut into pieces of that many.  Its words are lower-cased (A-Z) and joined by single spaces.  Every run of ``RUN``
+``LONGEST`` words is cut behind its commas, and what is still longer into pieces of that many, so that a passage behind other text in one sentence soon has its
+own boundaries.  Its words are lower-cased (A-Z) and joined by single spaces.  Every run of ``RUN``
 consecutive sentences with ``MIN_WORDS`` words or more is hashed.  Of all places of a hash in the corpus the first (least document id, then sentence) stays; the
 sentences of every other place are covered, and covered sentences are removed.
 
@@ -41,9 +42,12 @@ def sentences(text: str | None) -> list[tuple[int, int, bytes, int]]:
             out.append((start, stop, b" ".join(words), len(words)))
         elif words:
             at = [(m.start(), m.end()) for m in _WORD.finditer(piece)]
-            for k in range(0, len(words), LONGEST):
-                some = words[k : k + LONGEST]
-                out.append((start + at[k][0], start + at[k + len(some) - 1][1], b" ".join(some), len(some)))
+            k = 0
+            for stop_word in [*(i + 1 for i, w in enumerate(words) if w.endswith(b",")), len(words)]:
+                while k < stop_word:
+                    some = words[k : min(stop_word, k + LONGEST)]
+                    out.append((start + at[k][0], start + at[k + len(some) - 1][1], b" ".join(some), len(some)))
+                    k += len(some)
         start = following
     return out
 
