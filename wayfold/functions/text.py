@@ -8,18 +8,19 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KANJI_DIGITS = "一二三四五六七八九"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition; the JVM functions have none."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def search_key(text: pd.Series) -> pd.Series:
     """The form in which names are searched: NFKC, lower case, no blanks or middle dots, block numbers in digits, road prefixes and suffixes gone."""
     return text.map(lambda t: None if t is None else search_form(t))
@@ -48,7 +49,7 @@ def first_present(*columns: Column) -> Column:
 
 def tokens(text: Column, separator: str = ";") -> Column:
     """Trimmed tokens without empty ones."""
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda t: t != "")
 
 
 def has_token(text: Column, wanted: Column, separator: str = ";") -> Column:

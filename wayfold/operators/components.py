@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in the session's ``spark.checkpoint.dir``; one of our own is set only where there is none."""
@@ -19,9 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from files in the shared checkpoint folder: lineage ends there and lost executors cost nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows from files in the shared checkpoint folder: lineage ends there and lost executors cost nothing.
+
+    The shuffles that made them are deleted as soon as the files are whole.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # planned anew, under the setting
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

@@ -64,3 +64,8 @@ def bounded_paths(edges: DataFrame, start: DataFrame, most: int, node: str = "no
         now = now.join(both, F.element_at("path", -1) == F.col("_a")).where(~F.expr("array_contains(path, _b)")).select(F.concat("path", F.array("_b")).alias("path"))
         out = now if out is None else out.union(now)
     return out
+
+
+def best_k(rows: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:
+    """The first k rows of each key in the order."""
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
