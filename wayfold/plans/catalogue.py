@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wayfold.plans import records, trajectories
+from wayfold.plans import records, scenes, trajectories
 
-_MODULES = (trajectories, records)
+_MODULES = (trajectories, records, scenes)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
