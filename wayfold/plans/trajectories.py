@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as g
 from wayfold.operators import grid, islands, polyline
+from wayfold.plans import matching
 from wayfold.plans.matching import own
 from wayfold.plans.tables import POINTS, SEGMENTS, points, samples_sql, segments, table
 
@@ -206,11 +207,39 @@ def class_partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min("l_quantity").alias("w"), F.max("l_quantity").alias("e"), F.min("l_extendedprice").alias("s"), F.max("l_extendedprice").alias("north"))
 
 
+def _matched(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every user's polyline as a reference part, matched to the others as atoms; the class is the day of its first event, at most 3."""
+    segs = segments(spark, sf_dir)
+    kind = points(spark, sf_dir).groupBy("user_id").agg(F.least(F.lit(3), F.floor(F.min("x") / 4).cast("int") + 1).alias("class"))
+    atoms = segs.join(kind, "user_id").select(F.col("user_id").alias("edge"), "class", "x1", "y1", "x2", "y2")
+    s = polyline.samples(segs, "user_id", STEP).withColumnRenamed("user_id", "part").select("part", "sample", "x", "y", "tx", "ty").dropDuplicates(["part", "sample"])
+    cand = matching.candidates(s, atoms, RADIUS).where("part != edge")
+    owned = matching.heal(matching.suppress(own(cand, matching.BONUS, matching.LEAST_RUN, [1, 2, 3]), s, 5.0), s)
+    runs = matching.owned_runs(owned, STEP)
+    return {"owned": owned, "runs": runs, "gaps": matching.gaps(runs, STEP), "coverage": matching.coverage(s, owned)}
+
+
+def match_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates, ownership, suppression, healing and runs of every polyline."""
+    return _matched(spark, sf_dir)["runs"]
+
+
+def match_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owned share of each part."""
+    return _matched(spark, sf_dir)["coverage"]
+
+
+def match_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between runs with the decisions that need no path."""
+    return _matched(spark, sf_dir)["gaps"]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         traj_length, traj_bounds, traj_resample, traj_tangent, traj_residual_stats, traj_residual_filter, coverage_pct, uncovered_intervals, parallel_self_join, parallel_suppression,
         ownership_hierarchical, ownership_hysteresis, ownership_runs, run_gate, run_heal, continuity_gaps, continuity_summary, segment_clip, box_select, circle_clip, line_prefix, dominant_axis, class_partition_scan,
+        match_runs, match_coverage, match_gaps,
     )
 }
 
