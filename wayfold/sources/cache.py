@@ -48,6 +48,7 @@ def read_cache(spark: SparkSession, root: str, classes: list[str] | None = None,
 
 def read_registry(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Entries of JSON documents by an explicit schema, and the names of documents that are malformed."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("file", F.input_file_name())
-    rows = rows.select("*")
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("file")
+    text = spark.read.option("wholetext", True).text(path)
+    rows = text.select(F.input_file_name().alias("file"), F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    return rows.where(~bad).select("r.*", "file").drop("_corrupt"), rows.where(bad).select("file")
