@@ -15,7 +15,8 @@ the last level equal keys mean a replacement at the same place, or a whole line
 key gives the earliest line of either kind, and the pair is verified by its edit distance.
 
 Every join is by a key that is first reduced to its least and greatest line, so lines that share a variant are never
-paired up: a group of a million similar lines costs rows in proportion.
+paired up: a group of a million similar lines costs rows in proportion.  Rows that can't meet a partner are dropped before
+each join of large tables by a filter of fixed size; texts without candidates or removals are never shuffled.
 
 Documents with nothing left of what was there are dropped by ``dedup_lines``; null, empty and untouched texts stay as they
 are.  Rows that share an id count as one document; rows with a null id are never changed and are nobody's earlier line.
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut, id_and_text, per_row, ship
+from wayfold.operators.bitmap import KeyFilter
 
 MIN_CHARS = 24
 #: Windows of the second level are so many times smaller.
@@ -128,14 +130,17 @@ def _shared(keys: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """h, keeper_doc, keeper_line: each distinct line whose earliest line within one edit is a different, earlier one."""
     flat = lines.select("doc_id", F.explode("lines").alias("x")).where("doc_id is not null").select("doc_id", "x.i", "x.h", F.posexplode("x.keys").alias("window", "key"))
-    found = (
-        flat.join(_shared(flat), "key")
+    shared = cut(_shared(flat))
+    found = cut(
+        flat.where(KeyFilter(shared, "key").may_have(F.col("key")))
+        .join(shared, "key")
         .groupBy("h")
         .agg(F.min(F.struct("doc_id", "i")).alias("at"), F.collect_set("window").alias("windows"))
         .groupBy("at.doc_id")
         .agg(F.collect_list(F.struct("at.i", "h", "windows")).alias("lines"))
     )
-    texts = id_and_text(docs, id_col, text_col).join(found, "doc_id").select("doc_id", "text", "lines")
+    texts = id_and_text(docs, id_col, text_col)
+    texts = texts.where(KeyFilter(found, "doc_id").may_have(F.col("doc_id"))).join(found, "doc_id").select("doc_id", "text", "lines")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +244,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lists = cut(gone.select(F.col("doc_id").alias("_gone_id"), F.col("removed.i").alias("_gone")))
     names = docs.columns
     at = names.index(text_col)
-    joined = docs.join(lists, F.col(id_col).cast("long") == F.col("_gone_id"), "left").select(*[docs[c] for c in names], "_gone")
+    touched = KeyFilter(lists, "_gone_id").may_have(F.col(id_col).cast("long"))
+    some = docs.where(touched)
+    joined = some.join(lists, some[id_col].cast("long") == F.col("_gone_id"), "left").select(*[some[c] for c in names], "_gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,4 +256,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             columns = [pa.array(new, batch.column(at).type) if k == at else c for k, c in enumerate(batch.columns[: len(names)])]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema).unionByName(docs.where(~touched))
