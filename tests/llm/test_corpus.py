@@ -186,6 +186,15 @@ def test_a_hot_leak_keeps_its_seeds(spark, documents):
     assert sorted(r["doc_id"] for r in decontaminate.leaks(documents(rows), bench).collect()) == list(range(1, 60, 2))
 
 
+def test_an_edited_copy_is_found_beside_common_phrases(spark, documents):
+    """Many edited copies do not hide behind the rest of the item, and a common phrase alone is no leak."""
+    words = [f"w{k}" for k in range(30)]
+    spread = " ".join(words[:12] + ["x"] * 4 + words[16:30])
+    rows = [(i, f"start{i} {spread} end") for i in range(50)] + [(60, " ".join(words))] + [(70 + i, f"{' '.join(words[:4])} other{i} text") for i in range(300)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.leaks(documents(rows), bench).collect()) == [*range(50), 60]
+
+
 def spans_by_brute_force(rows):
     first, places = {}, []
     for d, t in sorted(rows):

@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased runs of ASCII letters and digits and of anything beyond ASCII.  The test items' runs of ``GRAM`` words
-are counted over the corpus (in how many documents each occurs).  An item keeps as seeds its rare runs: those in at most ``SPREAD`` times as many documents as the item's median
-run, and its rarest quarter in any case; so common phrases seed nothing, while an item that was copied a million times
-keeps its seeds.  Wherever a document has a seed, the stretch of text around it that could hold the item is aligned with the
+are counted over the corpus (in how many documents each occurs).  A run is rare if it is in at most ``SPREAD`` times as many documents as the median of the item's
+runs that occur at all, so an item that was copied a million times keeps its seeds.  A rare run is a seed by itself; a common phrase seeds
+only together with ``COMPANY`` runs of the item in one stretch, so that an edited copy is found however often it was spread.  Wherever a document has a seed,
+the stretch of text around it that could hold the item is aligned with the
 item by Smith-Waterman over words (``MATCH``, ``MISMATCH``, ``GAP``).  The score is the best local alignment over that of the
 item with itself, 0 to 1, so edited, cut and paraphrased copies score by what is left of the item.  A pair with ``MIN_SCORE`` or more
 is a leak.
@@ -32,6 +33,7 @@ from wayfold.llm.common import id_and_text, ship
 
 GRAM = 4
 SPREAD = 8
+COMPANY = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 BLOCK_WORDS = 1_000_000
@@ -55,6 +57,7 @@ class Block:
     first: np.ndarray
     item_at: np.ndarray
     offset_at: np.ndarray
+    rare_at: np.ndarray
 
     @staticmethod
     def of(rows: list[tuple[int, list[bytes]]]) -> Block:
@@ -66,7 +69,7 @@ class Block:
         offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
         order = np.argsort(every, kind="stable")
         keys, first = np.unique(every[order], return_index=True)
-        return Block([i for i, _ in rows], vocabulary, words, keys, np.append(first, len(every)), item[order], offset[order])
+        return Block([i for i, _ in rows], vocabulary, words, keys, np.append(first, len(every)), item[order], offset[order], np.ones(len(every), bool))
 
     def runs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the block's runs occur in a document, and their keys' numbers."""
@@ -84,25 +87,20 @@ class Block:
         words = words_of(text)
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
-    def rare(self, df: np.ndarray) -> Block:
-        """The block with seeds only, given the number of documents of each key."""
-        keep = np.zeros(len(self.item_at), bool)
+    def rated(self, df: np.ndarray) -> Block:
+        """The block with the runs that occur, rare and common ones told apart, given the number of documents of each key."""
         each = np.repeat(df, np.diff(self.first))
-        for item in range(len(self.items)):
-            at = np.flatnonzero(self.item_at == item) if len(self.items) < 2 else self._places[item]
-            if len(at):
-                d = each[at]
-                keep[at[d <= max(SPREAD * np.median(d), np.quantile(d, 0.25))]] = True
-        key_of = np.repeat(np.arange(len(self.keys)), np.diff(self.first))[keep]
-        used, first = np.unique(key_of, return_index=True)
-        return Block(self.items, self.vocabulary, self.words, self.keys[used], np.append(first, keep.sum()), self.item_at[keep], self.offset_at[keep])
-
-    @property
-    def _places(self) -> list[np.ndarray]:
-        if not hasattr(self, "_held"):
-            order = np.argsort(self.item_at, kind="stable")
-            self._held = np.split(order, np.searchsorted(self.item_at[order], np.arange(1, len(self.items))))
-        return self._held
+        order = np.lexsort((each, self.item_at))
+        order = order[each[order] > 0]
+        item, n = self.item_at[order], each[order]
+        start = np.searchsorted(item, np.arange(len(self.items)))
+        size = np.searchsorted(item, np.arange(len(self.items)), "right") - start
+        median = np.zeros(len(self.items))
+        median[size > 0] = n[start[size > 0] + (size[size > 0] - 1) // 2]
+        keep = each > 0
+        used, first = np.unique(np.repeat(np.arange(len(self.keys)), np.diff(self.first))[keep], return_index=True)
+        rare = each[keep] <= SPREAD * median[self.item_at[keep]]
+        return Block(self.items, self.vocabulary, self.words, self.keys[used], np.append(first, keep.sum()), self.item_at[keep], self.offset_at[keep], rare)
 
     def leaks(self, text: str | None, min_score: float) -> list[tuple[int, float, int, int]]:
         """Item, score, first word and end of the best alignment of each item that a text leaks."""
@@ -112,27 +110,40 @@ class Block:
             return []
         count = self.first[key + 1] - self.first[key]
         place = np.repeat(self.first[key], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        item, start = self.item_at[place], np.repeat(at, count) - self.offset_at[place]
+        item, offset, rare = self.item_at[place], self.offset_at[place], self.rare_at[place]
+        start = np.repeat(at, count) - offset
+        order = np.lexsort((start, item))
+        item, offset, rare, start = item[order], offset[order], rare[order], start[order]
         found = []
-        for one in np.unique(item).tolist():
-            words, starts = self.words[one], np.unique(start[item == one])
+        for one, begin, end in zip(*_groups(item), strict=True):
+            if not rare[begin:end].any() and end - begin < COMPANY:
+                continue
+            words, starts = self.words[one], start[begin:end].tolist()
             m = len(words)
-            exact = [s for s in starts.tolist() if s >= 0 and np.array_equal(ids[s : s + m], words)]
+            exact = [s for s in dict.fromkeys(starts) if s >= 0 and np.array_equal(ids[s : s + m], words)]
             best = (1.0, exact[0], exact[0] + m) if exact else (0.0, 0, 0)
             slack = m // 2 + 8
-            lo = hi = None
-            for s in [] if exact else [*starts.tolist(), None]:
-                if lo is not None and (s is None or s - slack > hi):
-                    score, a, b = align(words, ids[max(0, lo) : hi])
-                    best = max(best, (score, a + max(0, lo), b + max(0, lo)), key=lambda x: x[0])
-                    lo = None
-                if s is not None:
-                    lo, hi = s - slack if lo is None else lo, s + m + slack
+            first = 0
+            for k in range(0 if exact else 1, 0 if exact else len(starts) + 1):
+                if k < len(starts) and starts[k] - starts[k - 1] <= m + 2 * slack:
+                    continue
+                stretch = slice(begin + first, begin + k)
+                if rare[stretch].any() or len(np.unique(offset[stretch])) >= COMPANY:
+                    lo, hi = max(0, starts[first] - slack), starts[k - 1] + m + slack
+                    score, a, b = align(words, ids[lo:hi])
+                    best = max(best, (score, a + lo, b + lo), key=lambda x: x[0])
+                first = k
             if best[0] >= min_score:
                 found.append((self.items[one], *best))
         return found
 
 
+def _groups(item: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """The values of a sorted array, and where each starts and ends."""
+    values, first = np.unique(item, return_index=True)
+    return values.tolist(), first.tolist(), [*first[1:].tolist(), len(item)]
+
+
 def _mix(columns: list[np.ndarray]) -> np.ndarray:
     key = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
@@ -187,7 +198,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Ite
 
 
 def _seeded(rows: DataFrame, block: Block) -> Block:
-    """The block with its rare runs as seeds."""
+    """The block with its runs counted over the corpus."""
     sent = rows.sparkSession.sparkContext.broadcast(block)  # BLOCK_WORDS words at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +212,7 @@ def _seeded(rows: DataFrame, block: Block) -> Block:
     df = np.zeros(len(block.keys), np.int64)
     counted = rows.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     df[counted["key"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    return block.rare(df)
+    return block.rated(df)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
