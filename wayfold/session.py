@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
+_PACKAGE = __name__.split(".")[0]
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -18,3 +25,20 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that functions pickled by name load there."""
+    sc = spark.sparkContext
+    if getattr(SparkContext, "_wayfold_shipped", None) == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(), f"{_PACKAGE}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, _PACKAGE)):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    SparkContext._wayfold_shipped = sc.applicationId
