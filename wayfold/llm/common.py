@@ -2,37 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.operators.components import cut as cut
-
-#: Spark's name for the package that Python workers must be able to import.
-_PACKAGE = __name__.split(".")[0]
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a context, so that functions pickled by name load there."""
-    sc = spark.sparkContext
-    if getattr(SparkContext, "_wayfold_shipped", None) == sc.applicationId:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(), f"{_PACKAGE}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, _PACKAGE)):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    SparkContext._wayfold_shipped = sc.applicationId
+from wayfold.session import ship as ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +30,16 @@ def per_row(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns only, so that no other column can clash and the scan reads no more."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[slice]:
+    """Stretches of texts with so many characters at most (or one text), so that what is made of them stays small beside the batch."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        n = len(text or "")
+        if k > start and size + n > most:
+            yield slice(start, k)
+            start, size = k, 0
+        size += n
+    if start < len(texts):
+        yield slice(start, len(texts))

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ship
+from wayfold.llm.common import ship, slices
 from wayfold.llm.words import WordTable
 
 SIZES = (2, 3, 4)
@@ -178,7 +178,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable(sent.value.rows)
         for batch in batches:
-            langs, scores = sent.value.predict(batch.column(at[1]).to_pylist(), words)
+            texts = batch.column(at[1]).to_pylist()
+            langs, scores = [], []
+            for part in slices(texts):
+                for all_, some in zip((langs, scores), sent.value.predict(texts[part], words), strict=True):
+                    all_ += some
             bad = [x == "und" or s < min_score for x, s in zip(langs, scores, strict=True)]
             if keep:
                 yield batch.filter(pa.array([not x for x in bad], pa.bool_()))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ship
+from wayfold.llm.common import ship, slices
 
 NBEST = 4
 UNKNOWN = 10
@@ -380,25 +380,31 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None, nb
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solver = pieces(path, nbest)
-        for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
-            scores, best_of, sizes, sums, back, ids = [], [], [], [], [], []
-            for start in range(0, len(texts), 256):
-                some = texts[start : start + 256]
-                for text, (found, best, ways, _, _) in zip(some, solver.encode_many(some), strict=True):
-                    scores.append(best / UNIT)
-                    best_of.append([(best - loss) / UNIT for loss, _ in ways])
-                    sizes.append(len(found))
-                    sums.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
-                    back.append(solver.decode(found) == (text or "").replace(BLANK, " "))
-                    if with_ids:
-                        ids.append(found)
-            if with_ids:
-                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
-            else:
-                listed = pa.nulls(len(texts), types[0])
-            columns = [listed, *(pa.array(c, t) for c, t in zip((scores, best_of, sizes, sums, back), types[1:], strict=True))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], [*names, *_NAMES])
+        try:
+            for batch in batches:
+                yield encoded(solver, batch)
+        finally:
+            solver.clear()  # the worker lives on for other tasks
+
+    def encoded(solver: Pieces, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(len(names)).to_pylist()
+        scores, best_of, sizes, sums, back, ids = [], [], [], [], [], []
+        for part in slices(texts):
+            some = texts[part]
+            for text, (found, best, ways, _, _) in zip(some, solver.encode_many(some), strict=True):
+                scores.append(best / UNIT)
+                best_of.append([(best - loss) / UNIT for loss, _ in ways])
+                sizes.append(len(found))
+                sums.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
+                back.append(solver.decode(found) == (text or "").replace(BLANK, " "))
+                if with_ids:
+                    ids.append(found)
+        if with_ids:
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
+        else:
+            listed = pa.nulls(len(texts), types[0])
+        columns = [listed, *(pa.array(c, t) for c, t in zip((scores, best_of, sizes, sums, back), types[1:], strict=True))]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], [*names, *_NAMES])
 
     schema = ", ".join([*(f"{n} {dict(rows.dtypes)[n]}" for n in names), SCHEMA])
     out = rows.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from wayfold.llm.common import id_and_text, per_row
+from wayfold.llm.common import id_and_text, ship, slices
 
 #: Distinct pre-tokens and runs of them whose counts a worker holds between blocks.
 CACHE = 1_000_000
@@ -102,10 +102,13 @@ class PieceCounter:
             total += sum(map(int.__mul__, map(chunks.__getitem__, words), words.values()))
         return total
 
+    def clear(self) -> None:
+        for held in (self.counts, self.first, self.rest):
+            held.clear()
+
     def count(self, texts: list[str | None]) -> list[int]:
         if len(self.counts) + len(self.first) + len(self.rest) > CACHE:
-            for held in (self.counts, self.first, self.rest):
-                held.clear()
+            self.clear()
         found = []
         for text in texts:
             if text and self.special and self.special.search(text):
@@ -125,10 +128,16 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every row."""
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
 
-    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        tokens = counter(vocabulary).count(texts)
-        sizes = [len((t or "").encode()) for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return per_row(id_and_text(docs, id_col, text_col), block, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = counter(vocabulary)
+        try:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                tokens = [n for part in slices(texts) for n in counts.count(texts[part])]
+                sizes = [len((t or "").encode()) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        finally:
+            counts.clear()  # the worker lives on for other tasks
+
+    ship(docs.sparkSession)
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
