@@ -137,6 +137,44 @@ def test_near_duplicates_of_odd_rows(spark, documents):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
+def test_near_duplicates_equal_brute_force_jaccard(spark, documents, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON", 12)
+    rng = random.Random(3)
+    prose = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(n)]
+    hot = prose(30)
+    rows = []
+    for _ in range(25):
+        base = prose(rng.choice([3, 5, 6, 12, 60, 200])) + rng.choice([[], hot])
+        for _ in range(rng.choice([1, 2, 9])):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 60))):
+                words[rng.randrange(len(words))] = "edit" + str(rng.randrange(50))
+            rows.append((len(rows), " ".join(words)))
+    sets = {}
+    for d, t in rows:
+        w = t.split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    label = {d: d for d, _ in rows}
+    for a in label:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if c == high else c for d, c in label.items()}
+    rows += [(None, rows[0][1]), (500, rows[0][1].upper()), (501, None), (502, "")]
+    label |= {500: label[0], 501: 501, 502: 501, None: label[0]}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(rows), shingle=5, radius=corpus_pipeline.NEAR_BITS, least=0.8).collect()}
+    assert found == label and len(set(label.values())) < len(rows) - 20
+
+
+def test_the_pipeline_drops_near_copies_beyond_two_bits(spark, documents):
+    words = [f"w{k * 7919 % 1009}" for k in range(200)]
+    near = [*words[:60], "x", *words[61:140], "y", *words[141:]]
+    a, b = " ".join(words), " ".join(near)
+    assert (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 2
+    kept = corpus_pipeline.dedup_near(spark, documents([(1, a), (2, b), (3, " ".join(words[100:] + words[:40]))]), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3]
+
+
 def plain_alignment(item, text):
     best, h = 0, [[0] * (len(text) + 1) for _ in range(len(item) + 1)]
     for i, a in enumerate(item, 1):

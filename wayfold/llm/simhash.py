@@ -14,12 +14,21 @@ vantage point of its own differ by ``RADIUS`` at most.  So every link is seen, e
 for each linked fingerprint, with the smallest that the shard connects it to, and components of these rows make the result: links of a dense group
 are compared in blocks but never become rows.
 
+With ``least``, pairs are near duplicates if the exact Jaccard similarity of their sets of shingles is that or more, and the
+tree is not used: at similarity 0.8 fingerprints differ by some 10 bits and by up to 20, where unrelated ones
+differ by 32, so no bound of the tree closes a side.  Candidates come from an exact prefix join instead.  In any one
+order of all shingles, two sets of similarity t share one among the first ``n - ceil(t n) + 1`` of each; the order puts
+shingles that are common in a sample last, which moves work and never a result.  A candidate whose sizes rule the
+similarity out, or whose fingerprints differ by more than the radius, is left; the others are verified on whole sets.
+Every group that shares a shingle is compared with its three smallest sets first, and then only across the classes that these made.
+
 Exact copies are one fingerprint from the start.  Repeated ids give repeated rows; null ids take part and are never the
 smallest unless alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut, id_and_text, per_row, ship
+from wayfold.operators.bitmap import KeyFilter
 from wayfold.operators.components import connected_components
 
 RADIUS = 2
@@ -39,28 +49,41 @@ SEED = 42
 SHARD = 4096
 DEPTH = 12
 SAMPLE = 1 << 17
+#: Documents sampled for common shingles, in how many of them a shingle is common, and how many the order knows.
+COMMON_SAMPLE = 8192
+COMMON = 4
+MAX_COMMON = 1 << 16
+#: Sets that all others of a group are compared with first.
+PIVOTS = 3
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None) -> int:
-    """The unsigned fingerprint of a text."""
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of each run of words, in order."""
     words = (text or "").encode().lower().split()
-    if not words:
+    runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) > shingle else [words] if words else []
+    return np.array([xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in runs], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    if not len(hashes):
         return 0
-    hash_of = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        return hash_of(b" ".join(words), SEED)
-    hashes = np.array([hash_of(b"%b %b %b" % x, SEED) for x in zip(words, words[1:], words[2:], strict=False)], np.uint64)
     each = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(each[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of a text."""
+    return majority(shingles(text, shingle))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
+        found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     return per_row(id_and_text(docs, id_col, text_col), block, "doc_id long, fp long")
@@ -182,12 +205,114 @@ def links(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp").mapInArrow(route, "shard int, fp long, home boolean").groupBy("shard").applyInPandas(compare, "fp long, root long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row."""
-    fps = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = connected_components(links(distinct), "fp", "root").withColumnRenamed("node", "fp")
-    rooted = cut(distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """sig (a hash of the set), doc_id, items (the set) of each row of doc_id, text."""
+
+    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(shingles(t.as_py(), shingle)) for t in batch.column(1)]
+        sigs = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), batch.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["sig", "doc_id", "items"])
+
+    return per_row(docs, block, "sig long, doc_id long, items array<long>")
+
+
+def prefixes(docs: DataFrame, shingle: int, least: float, common: np.ndarray) -> DataFrame:
+    """doc_id, sig, n, fp, keys: the shingles of each row that come first, common ones (a sorted array) behind all others."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+
+    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sigs, sizes, fps, keys = [], [], [], []
+        for text in batch.column(1):
+            every = shingles(text.as_py(), shingle)
+            items = np.unique(every)
+            n = len(items)
+            first = n - math.ceil(least * n - 1e-9) + 1
+            late = np.isin(items, sent.value)
+            order = np.concatenate([items[~late], items[late]])
+            sigs.append(xxhash.xxh64_intdigest(items.tobytes(), SEED))
+            sizes.append(n)
+            fps.append(majority(every))
+            keys.append(order[:first].view(np.int64))
+        columns = [pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "sig", "n", "fp", "keys"])
+
+    return per_row(docs, block, "doc_id long, sig long, n int, fp long, keys array<long>")
+
+
+def candidates(lists: DataFrame, radius: int, least: float, later: bool) -> DataFrame:
+    """a, b: pairs of each list of (sig, n, fp, class), with its first sets only, or ``later`` the rest of different classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            for k in range(len(column)):
+                rows = column[k].values
+                sig, n, fp, of = (rows.field(x).to_numpy(zero_copy_only=False) for x in ("sig", "n", "fp", "class"))
+                fp = fp.view(np.uint64)
+                for start in range(PIVOTS if later else 0, len(sig) if later else min(PIVOTS, len(sig)), 64):
+                    block = slice(start, start + 64 if later else min(PIVOTS, len(sig)))
+                    at = np.arange(len(sig))[block]
+                    fits = np.minimum(n[block, None], n) >= least * np.maximum(n[block, None], n) - 1e-9
+                    fits &= np.bitwise_count(fp[block, None] ^ fp) <= radius
+                    fits &= np.arange(len(sig)) > at[:, None]
+                    if later:
+                        fits &= of[block, None] != of
+                    i, j = np.nonzero(fits)
+                    for c in range(0, len(i), 50_000):
+                        part = slice(c, c + 50_000)
+                        yield pa.RecordBatch.from_arrays([pa.array(sig[at[i[part]]]), pa.array(sig[j[part]])], ["a", "b"])
+
+    return lists.select("sets").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, packed: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs whose sets have the similarity."""
+    pairs = cut(pairs)
+    need = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+    ids = cut(packed.select("sig", "doc_id").join(need, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
+    some = texts.where(F.col("doc_id").isNull() | KeyFilter(ids, "doc_id").may_have(F.col("doc_id")))
+    sets = cut(_sets(some, shingle).join(need, "sig").dropDuplicates(["sig"]).select("sig", "items"))
+    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("of_a")), "a").join(sets.select(F.col("sig").alias("b"), F.col("items").alias("of_b")), "b")
+    shared = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("both"))
+    return cut(shared.where(F.col("both") >= least * (F.col("n") - F.col("both")) - 1e-9).select("a", "b"))
+
+
+def similar(docs: DataFrame, shingle: int, radius: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, sig, fp of every row of doc_id, text, and the pairs a, b of sets whose similarity links them."""
+    share = min(1.0, COMMON_SAMPLE / max(1, docs.count()))
+    sampled = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    often = _sets(sampled, shingle).dropDuplicates(["sig"]).select(F.explode("items").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON)
+    common = np.sort(often.orderBy(F.desc("count"), "key").limit(MAX_COMMON).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+    packed = cut(prefixes(docs, shingle, least, common))
+    flat = packed.select(F.explode("keys").alias("key"), "sig", "n", "fp")
+    shared = cut(flat.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("key"))
+    here = flat.where(KeyFilter(shared, "key").may_have(F.col("key"))).join(shared, "key")
+    lists = cut(here.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("sig", "n", "fp", F.lit(0).cast("long").alias("class")))).alias("sets")).select("sets").distinct())
+    first = verified(candidates(lists, radius, least, False), packed, docs, shingle, least)
+    open_ = lists.where(F.size("sets") > PIVOTS + 1)
+    if open_.isEmpty():
+        return packed, first
+    classes = connected_components(first, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("class"))
+    parts = open_.select(F.xxhash64("sets").alias("list"), F.explode("sets").alias("x")).select("list", "x.sig", "x.n", "x.fp").join(classes, "sig", "left").withColumn("class", F.coalesce("class", "sig"))
+    again = parts.groupBy("list").agg(F.sort_array(F.collect_list(F.struct("sig", "n", "fp", "class"))).alias("sets"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi")
+    return packed, first.union(verified(candidates(again, radius, least, True), packed, docs, shingle, least))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, least: float | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row; with ``least`` links are verified by Jaccard similarity."""
+    if least is None:
+        if radius != RADIUS:
+            raise ValueError(f"the tree is built for {RADIUS} bits")
+        fps = cut(fingerprints(docs, id_col, text_col, shingle)).withColumn("key", F.col("fp"))
+        distinct = cut(fps.groupBy("key").agg(F.min("doc_id").alias("first")))
+        edges = links(distinct.select(F.col("key").alias("fp"))).toDF("a", "b")
+    else:
+        packed, edges = similar(id_and_text(docs, id_col, text_col), shingle, radius, least)
+        fps = packed.select("doc_id", "fp", F.col("sig").alias("key"))
+        distinct = cut(fps.groupBy("key").agg(F.min("doc_id").alias("first")))
+    found = connected_components(edges, "a", "b").withColumnRenamed("node", "key")
+    rooted = cut(distinct.join(found, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root")))
+    component = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(component, "root").select("key", "component_id")
+    return fps.join(named, "key").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
