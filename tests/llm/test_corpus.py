@@ -265,6 +265,13 @@ def test_spans_equal_brute_force(spark, documents):
     assert span_dedup.covered(documents([])).count() == 0
 
 
+def test_a_passage_of_very_short_sentences_is_covered(spark, documents):
+    passage = " ".join(f"w{k} v{k}." for k in range(30))
+    rows = [(1, f"Begin here. {passage} End one."), (2, f"Another start. {passage} Other end.")]
+    found = span_dedup.covered(documents(rows)).collect()
+    assert [(r["doc_id"], list(r["removed"]), list(r["first_ids"])) for r in found] == [(2, list(range(1, 31)), [1])]
+
+
 def test_queries_are_named_by_number():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
 

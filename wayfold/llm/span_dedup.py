@@ -3,12 +3,12 @@
 A sentence ends behind ``.``, ``!`` or ``?`` with the marks that close it, before a blank, and at a line end; one with more than
 ``LONGEST`` words is cut behind its commas, and what is still longer into pieces of that many, so that a passage behind other text in one sentence soon has its
 own boundaries.  Its words are lower-cased (A-Z) and joined by single spaces.  Every run of ``RUN``
-consecutive sentences with ``MIN_WORDS`` words or more is hashed.  Of all places of a hash in the corpus the first (least document id, then sentence) stays; the
+consecutive sentences is hashed; one with fewer than ``MIN_WORDS`` words goes on, sentence by sentence, until it has them.  Of all places of a hash in the corpus the first (least document id, then sentence) stays; the
 sentences of every other place are covered, and covered sentences are removed.
 
 Hashes are reduced to first and last place before they meet their places again, so a passage that a third of all documents share is one row
 on that side, and adaptive execution can split the other side.  Rows that share an id count as one document; rows with a null id are never changed
-and are nobody's first place.  Null and empty texts, and texts with fewer than ``RUN`` sentences, have no runs.
+and are nobody's first place.  Null and empty texts, and texts with fewer than ``RUN`` sentences or ``MIN_WORDS`` words, have no runs.
 """
 
 from __future__ import annotations
@@ -52,14 +52,19 @@ def sentences(text: str | None) -> list[tuple[int, int, bytes, int]]:
     return out
 
 
-def runs(text: str | None) -> tuple[int, list[int | None]]:
-    """The number of sentences, and the hash of the run that starts at each, None if it is too short."""
+def runs(text: str | None) -> tuple[int, list[int | None], list[int]]:
+    """The number of sentences, and the hash and length of the run that starts at each; None where the text ends before it has its words."""
     found = sentences(text)
     hashes: list[int | None] = []
+    sizes = []
     for k in range(len(found) - RUN + 1):
-        some = found[k : k + RUN]
-        hashes.append(xxhash.xxh64_intdigest(b" ".join(x[2] for x in some)) - (1 << 63) if sum(x[3] for x in some) >= MIN_WORDS else None)
-    return len(found), hashes
+        end, words = k + RUN, sum(x[3] for x in found[k : k + RUN])
+        while words < MIN_WORDS and end < len(found):
+            words += found[end][3]
+            end += 1
+        hashes.append(xxhash.xxh64_intdigest(b" ".join(x[2] for x in found[k:end])) - (1 << 63) if words >= MIN_WORDS else None)
+        sizes.append(end - k)
+    return len(found), hashes, sizes
 
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,18 +72,19 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [runs(t.as_py()) for t in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["doc_id", "n", "hashes"])
+        columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int8())))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "h", "size"])
 
-    packed = cut(per_row(id_and_text(docs, id_col, text_col).where("doc_id is not null"), block, "doc_id long, n int, hashes array<long>"))
-    flat = packed.select("doc_id", "n", F.posexplode("hashes").alias("i", "h")).where("h is not null")
+    packed = cut(per_row(id_and_text(docs, id_col, text_col).where("doc_id is not null"), block, "doc_id long, n int, h array<long>, size array<byte>"))
+    flat = packed.select("doc_id", "n", F.posexplode(F.arrays_zip("h", "size")).alias("i", "x")).select("doc_id", "n", "i", "x.h", "x.size").where("h is not null")
     place = F.struct("doc_id", "i")
     first = flat.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.i").alias("first_i"))
     return (
         flat.join(first, "h")
         .where("doc_id != first_doc or i != first_i")
         .groupBy("doc_id")
-        .agg(F.max("n").alias("n_sentences"), F.collect_set("i").alias("starts"), F.sort_array(F.collect_set("first_doc")).alias("first_ids"))
-        .select("doc_id", "n_sentences", F.array_sort(F.array_distinct(F.expr(f"flatten(transform(starts, s -> sequence(s, s + {RUN - 1})))"))).alias("removed"), "first_ids")
+        .agg(F.max("n").alias("n_sentences"), F.collect_set(F.struct("i", "size")).alias("starts"), F.sort_array(F.collect_set("first_doc")).alias("first_ids"))
+        .select("doc_id", "n_sentences", F.array_sort(F.array_distinct(F.expr("flatten(transform(starts, s -> sequence(s.i, s.i + s.size - 1)))"))).alias("removed"), "first_ids")
     )
 
 
