@@ -272,6 +272,19 @@ def test_a_passage_of_very_short_sentences_is_covered(spark, documents):
     assert [(r["doc_id"], list(r["removed"]), list(r["first_ids"])) for r in found] == [(2, list(range(1, 31)), [1])]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_passage_is_found_at_every_offset_of_unpunctuated_text(spark, documents, seed):
+    rng = random.Random(seed)
+    prose = lambda n: ["".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(n)]
+    passage = prose(51)
+    rows = [(d, " ".join([*prose(d), *passage, *prose(40)])) for d in range(40)]
+    found = {r["doc_id"]: r["removed"] for r in span_dedup.covered(documents(rows)).collect()}
+    assert sorted(found) == list(range(1, 40))
+    for d, text in rows[1:]:
+        words = [set(x[2].split()) for k, x in enumerate(span_dedup.sentences(text)) if k in found[d]]
+        assert set().union(*words) <= {w.encode() for w in passage} and sum(map(len, words)) >= span_dedup.MIN_WORDS
+
+
 def test_queries_are_named_by_number():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
 

@@ -1,8 +1,8 @@
 """Substring dedup over sentence spans: sentences covered by a repeated run of sentences go, but for its first place.
 
-A sentence ends behind ``.``, ``!`` or ``?`` with the marks that close it, before a blank, and at a line end; one with more than
-``LONGEST`` words is cut behind its commas, and what is still longer into pieces of that many, so that a passage behind other text in one sentence soon has its
-own boundaries.  Its words are lower-cased (A-Z) and joined by single spaces.  Every run of ``RUN``
+A sentence ends behind ``.``, ``!`` or ``?`` with the marks that close it, before a blank, and at a line end.  One with twice
+``LEAST`` words or more is cut where its words say so (``cuts``), so a passage of over 50 words makes the same pieces wherever in a
+sentence it starts.  A piece counts as a sentence.  Its words are lower-cased (A-Z) and joined by single spaces.  Every run of ``RUN``
 consecutive sentences is hashed; one with fewer than ``MIN_WORDS`` words goes on, sentence by sentence, until it has them.  Of all places of a hash in the corpus the first (least document id, then sentence) stays; the
 sentences of every other place are covered, and covered sentences are removed.
 
@@ -13,8 +13,10 @@ and are nobody's first place.  Null and empty texts, and texts with fewer than `
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -25,30 +27,66 @@ from wayfold.llm.common import cut, id_and_text, per_row, ship
 
 RUN = 3
 MIN_WORDS = 12
-LONGEST = 16
+#: Fewest words of a piece of a longer sentence.
+LEAST = 4
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _END = regex.compile(r"(?<=[.!?][\"')\]]*)[ \t\r\v\f]+|\n+")
 _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
 
+def cuts(words: list[bytes], bounds: list[tuple[int, int]]) -> list[list[int]]:
+    """The first words of the pieces of each sentence, given as first word and end.
+
+    A word starts a piece if its hash, with that of the word before it, is the least of those fewer than ``LEAST`` words away; between
+    two such starts the least hash that leaves ``LEAST`` words on both sides starts one, again and again.  So pieces have
+    ``LEAST`` to twice as many words, and what stands around a passage decides nothing behind its first such start.
+    """
+    n = len(words)
+    each = np.fromiter(map(zlib.crc32, words), np.uint64, n)
+    mixed = (each * _MIX[0] ^ np.roll(each, 1)) * _MIX[1]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= _MIX[0]
+    low = np.ones(n, bool)
+    for k in range(1, LEAST):
+        low[k:] &= mixed[k:] < mixed[:-k]
+        low[:-k] &= mixed[:-k] <= mixed[k:]
+    marks, value, m, out = np.flatnonzero(low).tolist(), mixed.tolist(), 0, []
+    for lo, hi in bounds:
+        starts = [lo]
+        while m < len(marks) and marks[m] < hi:
+            if lo + LEAST <= marks[m] <= hi - LEAST:
+                starts.append(marks[m])
+            m += 1
+        if hi - lo >= 2 * LEAST:
+            open_ = list(zip(starts, [*starts[1:], hi], strict=True))
+            while open_:
+                x, y = open_.pop()
+                if y - x >= 2 * LEAST:
+                    k = min(range(x + LEAST, min(y - LEAST, x + 64) + 1), key=value.__getitem__)
+                    starts.append(k)
+                    open_ += [(x, k), (k, y)]
+            starts.sort()
+        out.append(starts)
+    return out
+
+
 def sentences(text: str | None) -> list[tuple[int, int, bytes, int]]:
     """Start, end, joined words and their number, of each sentence or piece of one."""
     text = text or ""
-    out, start = [], 0
-    ends = [(m.start(), m.end()) for m in _END.finditer(text)]
-    for stop, following in [*ends, (len(text), len(text))]:
-        piece = text[start:stop]
-        words = piece.encode().lower().split()
-        if 0 < len(words) <= LONGEST:
-            out.append((start, stop, b" ".join(words), len(words)))
-        elif words:
-            at = [(m.start(), m.end()) for m in _WORD.finditer(piece)]
-            k = 0
-            for stop_word in [*(i + 1 for i, w in enumerate(words) if w.endswith(b",")), len(words)]:
-                while k < stop_word:
-                    some = words[k : min(stop_word, k + LONGEST)]
-                    out.append((start + at[k][0], start + at[k + len(some) - 1][1], b" ".join(some), len(some)))
-                    k += len(some)
+    whole, every, start = [], [], 0
+    for stop, following in [*((m.start(), m.end()) for m in _END.finditer(text)), (len(text), len(text))]:
+        words = text[start:stop].encode().lower().split()
+        if words:
+            whole.append((start, stop, len(every), len(every) + len(words)))
+            every += words
         start = following
+    out = []
+    for (start, stop, lo, hi), parts in zip(whole, cuts(every, [x[2:] for x in whole]), strict=True):
+        if len(parts) == 1:
+            out.append((start, stop, b" ".join(every[lo:hi]), hi - lo))
+            continue
+        at = [x.span() for x in _WORD.finditer(text, start, stop)]
+        out += [(at[x - lo][0], at[y - 1 - lo][1], b" ".join(every[x:y]), y - x) for x, y in zip(parts, [*parts[1:], hi], strict=True)]
     return out
 
 
