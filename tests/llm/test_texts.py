@@ -72,6 +72,37 @@ def test_bands_reject_repetition_and_noise():
     assert parts[2] == 6 and parts[1] == 5
 
 
+SIZES = [100, 160, 224, 330, 450, 900, 1400, 1900, 2800, 4000, 8000, 12000, 30000, 60000, 120000]
+
+
+@pytest.mark.parametrize(
+    ("alphabet", "least"),
+    [
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 100),
+        ("".join(map(chr, range(33, 127))), 100),
+        ("abcdefghijklmnopqrstuvwxyz", 2800),  # shorter ones compress as prose does
+        ("абвгдежзийклмнопрстуфхцчшщъыьэюя", 12000),
+    ],
+)
+def test_bands_reject_random_strings_of_every_length(alphabet, least):
+    z = zstandard.ZstdCompressor(level=quality_rules.LEVEL, write_checksum=False)
+    rng = random.Random(2)
+    for n in SIZES:
+        for _ in range(3 if n >= least else 0):
+            text = " ".join("".join(rng.choices(alphabet, k=rng.randint(3, 10))) for _ in range(n // 4)).encode()[:n]
+            assert not quality_rules.bands(text, z)[3], n
+
+
+def test_bands_keep_prose_of_every_length():
+    from pydoc_data import topics
+
+    z = zstandard.ZstdCompressor(level=quality_rules.LEVEL, write_checksum=False)
+    prose = "\n".join(topics.topics[k] for k in sorted(topics.topics)).encode()
+    for n in SIZES:
+        kept = [quality_rules.bands(prose[a : a + n], z)[3] for a in range(0, len(prose) - n, max(n, len(prose) // 100))]
+        assert sum(kept) >= 0.97 * len(kept), n
+
+
 def judged(rules, url):
     host, path = url_filter.parts(url)
     best = None

@@ -27,9 +27,27 @@ MIN_WORDS = 20
 MAX_REPEATED = 30
 LEVEL = 3
 CHUNK = 4096
-#: Up to so many bytes: lowest and highest ratio of whole texts.
-BANDS = ((256, 0.80, 3.0), (1024, 1.00, 4.0), (4096, 1.20, 5.5), (16384, 1.30, 7.0), (65536, 1.35, 9.0), (float("inf"), 1.40, 12.0))
-CHUNK_BAND = (1.15, 6.0)
+#: Up to so many bytes: lowest and highest ratio of whole texts.  Ratios grow with length, so each lower limit is set just
+#: under the least ratios of real prose at the short end of its range (licences, Python's manual, sf0.1 documents that pass the base rules).
+BANDS = (
+    (128, 0.95, 3.0),
+    (192, 1.04, 3.0),
+    (256, 1.11, 3.0),
+    (384, 1.19, 4.0),
+    (512, 1.28, 4.0),
+    (1024, 1.38, 4.0),
+    (1536, 1.55, 5.5),
+    (2048, 1.63, 5.5),
+    (3072, 1.73, 5.5),
+    (4096, 1.83, 5.5),
+    (8192, 1.93, 7.0),
+    (16384, 2.15, 7.0),
+    (32768, 2.28, 9.0),
+    (65536, 2.33, 9.0),
+    (float("inf"), 2.45, 12.0),
+)
+#: Chunks have 2 to 6 KB: prose of 2 KB starts at 1.76, full chunks of sf0.1 at 1.96.
+CHUNK_BAND = (1.75, 6.0)
 MAX_BAD_CHUNKS = 0.5
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, bad_chunks long, n_chunks long, base_failed boolean, kept boolean"
 
