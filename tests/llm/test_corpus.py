@@ -72,6 +72,18 @@ def test_line_dedup_rewrites_texts_and_drops_what_is_empty(spark, documents):
     assert found.where("text is null").count() == 1 and line_dedup.dedup_lines(documents([])).count() == 0
 
 
+def test_short_lines_go_as_copies_and_by_one_edit_from_its_bound(spark, documents):
+    rng = random.Random(2)
+    base = ["".join(rng.choices("abcd", k=k)) for k in (8, 8, 9, 9, 10, 11, 12, 13, 15, 16, 17, 18, 20, 23, 24, 25)]
+    rows = [(d, "\n".join(edited(rng, rng.choice(base)) if rng.random() < 0.7 else rng.choice(["}", "yes", "yet", "All."]) for _ in range(5))) for d in range(60)]
+    lines = [(d, i, x) for d, t in rows for i, x in enumerate(line_dedup.lines_of(t)) if x]
+    expected = {d: [] for d, _ in rows}
+    for k, (d, i, x) in enumerate(lines):
+        if any(x == y or min(len(x), len(y)) >= line_dedup.MIN_EDIT and one_edit(x, y) for _, _, y in lines[:k]):
+            expected[d].append(i)
+    assert {r["doc_id"]: [x["i"] for x in r["removed"]] for r in line_dedup.line_report(documents(rows)).collect()} == expected
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

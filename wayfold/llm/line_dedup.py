@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join: a line goes if an earlier one is within one edit of it.
 
-Lines are the ``\\n``-split pieces of a text without the ASCII blanks around them; those under ``MIN_CHARS`` characters are left
-alone.  Lines are ordered by (document id, line number).  A line is removed if any earlier line has edit distance 0 or 1
-from it (one character inserted, deleted or replaced), whether or not that line is itself removed, so the earliest always
+Lines are the ``\\n``-split pieces of a text without the ASCII blanks around them; empty ones are left
+alone.  Lines are ordered by (document id, line number).  A line is removed if any earlier line equals it or, both having
+``MIN_EDIT`` characters or more, has edit distance 1 from it (one character inserted, deleted or replaced), whether or not that line is itself removed, so the earliest always
 stays.
 
 Exact copies meet by hash.  For the rest every line emits hashed variants: itself with a window deleted.  The windows of a
@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import cut, id_and_text, per_row, ship
 from wayfold.operators.bitmap import KeyFilter
 
-MIN_CHARS = 24
+#: Shorter lines are no lines.
+MIN_CHARS = 1
+#: Shorter lines go only as exact copies: one edit there is an eighth of the line or more, and mostly another word or number.
+MIN_EDIT = 8
 #: Windows of the second level are so many times smaller.
 FINER = 16
 BLANKS = " \t\n\v\f\r"
@@ -115,7 +118,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             text = text.as_py()
             lines = lines_of(text)
             totals.append(len(lines) if text else 0)
-            found.append([{"i": i, "h": hash_of(x), "keys": [k for k, _, _ in first_level(x)]} for i, x in enumerate(lines) if len(x) >= MIN_CHARS])
+            found.append([{"i": i, "h": hash_of(x), "keys": [k for k, _, _ in first_level(x)] if len(x) >= MIN_EDIT else []} for i, x in enumerate(lines) if len(x) >= MIN_CHARS])
         kind = pa.list_(pa.struct([("i", pa.int32()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int32()), pa.array(found, kind)], ["doc_id", "n_lines", "lines"])
 
