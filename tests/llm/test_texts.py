@@ -212,6 +212,12 @@ def test_language_is_learned_and_unknown_text_rejected(spark):
     assert language_id.identify(docs.limit(0), nothing).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(k * 2 + i, f"word{chr(97 + k // 26)}{chr(97 + k % 26)} text", f"l{k}") for k in range(230) for i in range(2)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {f"l{k}" for k in range(230)}
+
+
 def test_word_sums_equal_whole_text_features():
     model = language_id.train([("a", *language_id.features([b"abc", b"de"])), ("b", *language_id.features([b"xyz"]))], [])
     words = [b"abc", b"abc", b"xyz", b"q"]

@@ -5,7 +5,7 @@ ends, gives its byte n-grams of ``SIZES``, hashed into ``2**BITS`` rows of an em
 rows, and a linear softmax over that mean gives a probability for each language.  Both tables are trained together by
 stochastic gradient descent in numpy on the driver.
 
-Training reads a bounded sample: about ``per_language`` texts of each of the ``MAX_LANGUAGES`` most frequent languages,
+Training reads a bounded sample: about ``per_language`` texts of each language that occurs,
 chosen by a hash of the id, each as its ``MAX_FEATURES`` most frequent n-grams, and with each text two windows of a few
 of its words, so that short texts are met too.  A fifth of the sample is not trained on: it sets the temperature that makes the softmax's
 probabilities honest.  Prediction reads whole texts, and as mean and softmax are linear before the exponent, sums up rows
@@ -33,7 +33,6 @@ SIZES = (2, 3, 4)
 BITS = 16
 DIM = 16
 PER_LANGUAGE = 500
-MAX_LANGUAGES = 200
 MAX_FEATURES = 4096
 EPOCHS = 6
 RATE = 2.0
@@ -141,11 +140,11 @@ def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", te
     """Learn from the rows that ``where`` allows and whose language is not null."""
     rows = docs.where(F.lit(True) if where is None else where).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return train([], [])
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
