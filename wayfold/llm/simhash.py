@@ -222,13 +222,14 @@ def prefixes(docs: DataFrame, shingle: int, least: float, common: np.ndarray) ->
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = np.append(sent.value, np.uint64(2**64 - 1))
         sigs, sizes, fps, keys = [], [], [], []
         for text in batch.column(1):
             every = shingles(text.as_py(), shingle)
             items = np.unique(every)
             n = len(items)
             first = n - math.ceil(least * n - 1e-9) + 1
-            late = np.isin(items, sent.value)
+            late = known[np.searchsorted(known, items)] == items
             order = np.concatenate([items[~late], items[late]])
             sigs.append(xxhash.xxh64_intdigest(items.tobytes(), SEED))
             sizes.append(n)
