@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -16,6 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -33,12 +36,14 @@ def ship(spark: SparkSession) -> None:
     if getattr(SparkContext, "_wayfold_shipped", None) == sc.applicationId:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), f"{_PACKAGE}.zip")
+    folder = tempfile.mkdtemp()  # on the driver, which serves the file from there
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{_PACKAGE}.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, _PACKAGE)):
+        for inside, _, names in os.walk(os.path.join(root, _PACKAGE)):
             for name in names:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(inside, name)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
     SparkContext._wayfold_shipped = sc.applicationId
