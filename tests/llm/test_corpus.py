@@ -125,8 +125,9 @@ def brute_components(fps):
     return {f: root(f) for f in every}
 
 
-def test_tree_links_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD", 40)
+@pytest.mark.parametrize("shard", [40, 0.05])  # the second makes the tree deeper than 12
+def test_tree_links_equal_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(simhash, "SHARD", shard)
     fps = close_groups(random.Random(8), 400)
     signed = [f - (1 << 64) if f >> 63 else f for f in set(fps)]
     found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))
@@ -150,7 +151,7 @@ def test_near_duplicates_of_odd_rows(spark, documents):
 
 
 def test_near_duplicates_equal_brute_force_jaccard(spark, documents, monkeypatch):
-    monkeypatch.setattr(simhash, "COMMON", 12)
+    monkeypatch.setattr(simhash, "BLOCK", 4)
     rng = random.Random(3)
     prose = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(n)]
     hot = prose(30)
@@ -174,7 +175,7 @@ def test_near_duplicates_equal_brute_force_jaccard(spark, documents, monkeypatch
                 label = {d: low if c == high else c for d, c in label.items()}
     rows += [(None, rows[0][1]), (500, rows[0][1].upper()), (501, None), (502, "")]
     label |= {500: label[0], 501: 501, 502: 501, None: label[0]}
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(rows), shingle=5, radius=corpus_pipeline.NEAR_BITS, least=0.8).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(rows), shingle=5, least=0.8).collect()}
     assert found == label and len(set(label.values())) < len(rows) - 20
 
 
@@ -229,6 +230,28 @@ def test_leaks_find_exact_and_edited_copies_only(spark, documents):
     assert decontaminate.leaks(documents(rows), bench.limit(0)).count() == 0 and decontaminate.leaks(documents([]), bench).count() == 0
 
 
+def test_leaked_pairs_equal_alignment_of_everything(spark, documents):
+    """Recall of the seed stage on edited copies, against Smith-Waterman of every item over every whole text."""
+    import numpy as np
+
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choices("etaoinshr", k=rng.randint(3, 8))) for _ in range(600)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {k: prose(rng.randint(12, 40)) for k in range(15)}
+    rows = [(d, " ".join(prose(rng.randint(0, 80)))) for d in range(20)]
+    for d in range(20, 90):
+        copy = list(items[rng.randrange(15)])
+        for _ in range(rng.randrange(len(copy) // 3)):
+            k = rng.randrange(len(copy))
+            copy[k : k + rng.randint(0, 1)] = rng.choice([[], prose(1), prose(2)])
+        rows.append((d, " ".join(prose(rng.randint(0, 60)) + copy + prose(rng.randint(0, 60)))))
+    number = {w: k for k, w in enumerate(vocabulary)}
+    every = {(d, i) for d, t in rows for i, item in items.items() if decontaminate.align(np.array([number[w] for w in item]), np.array([number[w] for w in t.split()], np.int64))[0] >= decontaminate.MIN_SCORE}
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()] + [(None, " ".join(items[0]))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(documents(rows), bench).collect()}
+    assert found <= every and len(found) >= 0.97 * len(every) and len(every) > 50
+
+
 def test_a_hot_leak_keeps_its_seeds(spark, documents):
     item = " ".join(f"unusual{k}" for k in range(20))
     rows = [(i, f"{item} filler{i}" if i % 2 else f"clean text number{i} here") for i in range(60)]
@@ -246,35 +269,41 @@ def test_an_edited_copy_is_found_beside_common_phrases(spark, documents):
 
 
 def spans_by_brute_force(rows):
+    """The smallest (id, hash of text, sentence) of each run stays; runs grow until they have their words."""
     first, places = {}, []
-    for d, t in sorted(rows):
+    for d, row, t in sorted(rows):
         s = span_dedup.sentences(t)
         for k in range(len(s) - span_dedup.RUN + 1):
-            run = s[k : k + span_dedup.RUN]
-            if sum(x[3] for x in run) >= span_dedup.MIN_WORDS:
-                key = tuple(x[2] for x in run)
-                first.setdefault(key, (d, k))
-                places.append((key, d, k))
+            size = next((z for z in range(span_dedup.RUN, len(s) - k + 1) if sum(x[3] for x in s[k : k + z]) >= span_dedup.MIN_WORDS), 0)
+            if size:
+                key = b" ".join(x[2] for x in s[k : k + size])
+                first.setdefault(key, (d, row, k))
+                places.append((key, d, row, k, size))
     out = {}
-    for key, d, k in places:
-        if first[key] != (d, k):
-            out.setdefault(d, set()).update(range(k, k + span_dedup.RUN))
+    for key, d, row, k, size in places:
+        if first[key] != (d, row, k):
+            out.setdefault((d, row), set()).update(range(k, k + size))
     return {d: sorted(v) for d, v in out.items()}
 
 
+def hashed(spark, rows):
+    """The rows with a hash of their texts between."""
+    return [tuple(r) for r in spark.createDataFrame(rows, "d long, t string").selectExpr("d", "xxhash64(t)", "t").collect()]
+
+
 def test_spans_equal_brute_force(spark, documents):
     rng = random.Random(6)
     sentence = lambda: " ".join("".join(rng.choices("etaoin", k=4)) for _ in range(rng.randint(3, 24))) + rng.choice([".", "!", "?"])
     passages = [[sentence() for _ in range(5)] for _ in range(4)]
-    rows = [(d, " ".join([sentence(), *rng.choice(passages), sentence(), *(rng.choice(passages)[:4]), sentence()])) for d in range(30)]
+    rows = [(d % 25, " ".join([sentence(), *rng.choice(passages), sentence(), *(rng.choice(passages)[:4]), sentence()])) for d in range(30)]
     rows += [(50, None), (51, ""), (52, "One. Two. Three."), (53, "word " * 4000)]
-    found = {r["doc_id"]: list(r["removed"]) for r in span_dedup.covered(documents([*rows, (None, rows[0][1]), rows[3]])).collect()}
-    assert found == spans_by_brute_force(rows)
-    left = {r["doc_id"]: r["text"] for r in span_dedup.dedup_spans(documents(rows)).collect()}
-    for d, t in rows:
-        gone = set(found.get(d, ()))
-        assert [x[2] for x in span_dedup.sentences(left[d])] == [x[2] for k, x in enumerate(span_dedup.sentences(t)) if k not in gone] or any("," in (t or "") for _ in [0])
-    assert span_dedup.covered(documents([])).count() == 0
+    found = {(r["doc_id"], r["row"]): list(r["removed"]) for r in span_dedup.covered(documents([*rows, (None, rows[0][1]), rows[3]])).collect()}
+    assert found == spans_by_brute_force(hashed(spark, rows)) and len(found) > 20
+    left = {(r["doc_id"], r["n_chars"]): r["text"] for r in span_dedup.dedup_spans(documents(rows)).collect()}
+    for d, row, t in hashed(spark, rows):
+        gone = set(found.get((d, row), ()))
+        assert b" ".join(x[2] for x in span_dedup.sentences(left[d, len(t or "")])) == b" ".join(x[2] for k, x in enumerate(span_dedup.sentences(t)) if k not in gone)
+    assert span_dedup.covered(documents([])).count() == 0 and span_dedup.dedup_spans(documents([])).count() == 0
 
 
 def test_a_passage_of_very_short_sentences_is_covered(spark, documents):
@@ -284,6 +313,58 @@ def test_a_passage_of_very_short_sentences_is_covered(spark, documents):
     assert [(r["doc_id"], list(r["removed"]), list(r["first_ids"])) for r in found] == [(2, list(range(1, 31)), [1])]
 
 
+CLASHES = "_gone string, _gone_id long, doc_id_ long, h long, key long, fp long, removed string, _owner string, _row long, _numbers int, _mine int, _stays int, row long, sig long"
+
+
+def clashing(spark, rows):
+    """Documents with columns named like ones that operators make."""
+    names = [x.split()[0] for x in CLASHES.split(", ")]
+    kinds = [x.split()[1] for x in CLASHES.split(", ")]
+    return spark.createDataFrame([(i, t, *("x" if k == "string" else 7 for k in kinds)) for i, t in rows], "doc_id long, text string, " + ", ".join(map(" ".join, zip(names, kinds, strict=True))))
+
+
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    shared = "a line that several rows of this table have"
+    own = [f"some words that only row number {'abcdefgh'[k] * 3} has in it" for k in range(4)]
+    rows = [(1, f"{shared}\n{own[0]}"), (2, f"{own[1]} begins\n{shared}"), (2, f"{shared}\n{own[2]} here"), (-3, f"{own[3]} stands\nalone"), (None, shared), (None, shared)]
+    docs = clashing(spark, rows)
+    found = line_dedup.dedup_lines(docs)
+    assert found.columns == docs.columns
+    assert sorted(r["text"] for r in found.collect()) == sorted([rows[0][1], rows[3][1], shared, shared, f"{own[1]} begins", f"{own[2]} here"])
+    passage = " ".join(f"word{k} goes with number{k} here." for k in range(8))
+    texts = [" ".join(f"{x}{k} is {x}only text{k} of row{x}." for k in range(7)) for x in "pqrs"]
+    rows = [(1, f"{texts[0]} {passage}"), (2, f"{passage} {texts[1]}"), (2, f"{texts[2]} {passage} {texts[3]}"), (2, f"{texts[2]} {passage} {texts[3]}"), (-1, None)]
+    kept = span_dedup.dedup_spans(clashing(spark, rows))
+    assert sorted(r["text"] or "" for r in kept.collect()) == sorted(["", rows[0][1], texts[1], f"{texts[2]} {texts[3]}", f"{texts[2]} {texts[3]}"])
+
+
+@pytest.mark.parametrize("least", [None, 0.8])
+def test_one_row_of_each_component_stays(spark, least):
+    rng = random.Random(9)
+    prose = lambda: " ".join("".join(rng.choices("etaoinshr", k=5)) for _ in range(40))
+    a, b, c, d = (prose() for _ in range(4))
+    rows = [(5, a), (5, a), (5, b), (3, b), (-7, c), (-7, a), (None, d), (None, d), (None, c), (9, None), (8, "")]
+    docs = clashing(spark, rows)
+    found = simhash.without_near_duplicates(docs, least=least)
+    assert found.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in found.collect()) == sorted([(-7, a), (3, b), (-7, c), (0, d), (8, "")])
+    assert simhash.without_near_duplicates(docs.limit(0), least=least).count() == 0
+
+
+def test_bands_find_what_is_similar():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    missed = 0
+    for _ in range(400):
+        items = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+        other = np.concatenate([items[:90], rng.integers(0, 1 << 63, 12).astype(np.uint64)])  # similarity 0.804
+        missed += not np.intersect1d(simhash.bands(items), simhash.bands(other)).size
+        odd = np.bitwise_count(np.frombuffer(simhash.parities(items), np.uint8) ^ np.frombuffer(simhash.parities(other), np.uint8)).sum()
+        assert odd <= 22
+    assert missed <= 2
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_a_passage_is_found_at_every_offset_of_unpunctuated_text(spark, documents, seed):
     rng = random.Random(seed)

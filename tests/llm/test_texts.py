@@ -133,8 +133,8 @@ def test_url_parts(url, found):
 def test_url_queries_agree(spark):
     urls = [(1, "http://x.net/en/1"), (2, None), (2, None), (3, "http://a.org/x/yzz"), (4, "nothing"), (5, "http://q.example.com/de/?a")]
     pages = spark.createDataFrame([(i, u, "extra") for i, u in urls], "page_id long, url string, host string")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    one, two = url_filter.url_filter(pages, RULES), url_filter._joined(pages.select("page_id", "url"), rules)
+    rules = spark.createDataFrame([*RULES, (None, "/", "block"), ("x.net", None, "allow")], "host string, path string, verdict string")
+    one, two = url_filter.url_filter(pages, rules), url_filter._joined(pages.select("page_id", "url"), rules)
     assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr)
     assert url_filter.url_filter(pages, []).where("verdict != 'allow'").count() == 0
     assert url_filter.url_filter(pages.limit(0), RULES).count() == 0
@@ -192,6 +192,23 @@ def test_encode_and_decode_rows(spark, documents):
     assert sentence_pieces.encode(documents([]), keep=["doc_id"]).count() == 0
 
 
+def test_segmentations_have_the_ids_of_every_way(spark, documents, solver):
+    texts = ["the theatre", "x", "", "a line\nand  ①another, longer one that has many ways", None, "日本 the"]
+    found = sentence_pieces.segmentations(sentence_pieces.encode(documents(list(enumerate(texts))), keep=["doc_id"]))
+    got = sorted((r["doc_id"], r["rank"], r["score"], list(r["ids"])) for r in found.collect())
+    assert got == [(d, k, s, i) for d, t in enumerate(texts) for k, (s, i) in enumerate(solver.nbest_ids(t), 1)]
+    back = sentence_pieces.decode(found, into="back").collect()
+    assert len(back) > 12 and all(r["back"] == (texts[r["doc_id"]] or "") for r in back)
+
+
+def test_the_best_path_is_as_short_as_the_library_s(solver):
+    from pydoc_data import topics
+
+    texts = [topics.topics[k] for k in sorted(topics.topics)][:40]
+    mine, merged = (sum(map(len, x)) for x in ([solver.encode(t)[0] for t in texts], [solver.library.encode(t) for t in texts]))
+    assert 0.95 * merged <= mine <= merged
+
+
 def sample(rng, letters, n=40):
     return " ".join("".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(n))
 
@@ -212,6 +229,17 @@ def test_language_is_learned_and_unknown_text_rejected(spark):
     assert language_id.identify(docs.limit(0), nothing).count() == 0
 
 
+def test_language_sample_meets_any_id(spark):
+    """Negative, null and repeated ids; a hot id and a hot copy don't fill the sample."""
+    rng = random.Random(3)
+    kinds = {"xx": "abcde", "yy": "pqrst"}
+    rows = [(rng.choice([-5, None, -(1 << 62), 7]), sample(rng, kinds[k]), k) for k in ["xx", "yy"] * 40] + [(-9, "abcde edcba " * 20, "xx")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for model in (language_id.fit(docs, per_language=20), language_id.fit(docs, sample_bytes=9000)):
+        found = language_id.identify(docs, model).collect()
+        assert len(found) == len(rows) and {r["lang_pred"] for r in found} == {"xx", "yy"}
+
+
 def test_every_language_is_learned(spark):
     rows = [(k * 2 + i, f"word{chr(97 + k // 26)}{chr(97 + k % 26)} text", f"l{k}") for k in range(230) for i in range(2)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

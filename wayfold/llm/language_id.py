@@ -5,14 +5,16 @@ ends, gives its byte n-grams of ``SIZES``, hashed into ``2**BITS`` rows of an em
 rows, and a linear softmax over that mean gives a probability for each language.  Both tables are trained together by
 stochastic gradient descent in numpy on the driver.
 
-Training reads a bounded sample: about ``per_language`` texts of each language that occurs,
-chosen by a hash of the id, each as its ``MAX_FEATURES`` most frequent n-grams, and with each text two windows of a few
+Training reads a bounded sample: about ``per_language`` texts of each language that occurs, fewer where they would have more than
+``sample_bytes`` bytes shared out over the languages, chosen by a hash of id and text (equal rows count once, so neither a hot id nor a hot
+copy can fill it).  Each text is taken whole, and with it two windows of a few
 of its words, so that short texts are met too.  A fifth of the sample is not trained on: it sets the temperature that makes the softmax's
 probabilities honest.  Prediction reads whole texts, and as mean and softmax are linear before the exponent, sums up rows
 of a table by word, so a frequent word is worked out once.
 
 ``und`` with score 0 is given to a null text and to one without letters, and to every text if nothing could be learned.  A
-prediction is rejected if it is ``und`` or its calibrated score is below ``min_score``.  Repeated rows give repeated rows.
+prediction is rejected if it is ``und`` or its calibrated score is below ``min_score``.  Repeated rows give repeated rows; ids may be
+null, negative or repeated, and other columns pass through under any name.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ship, slices
+from wayfold.llm.common import portions, release, ship
 from wayfold.llm.words import WordTable
 
 SIZES = (2, 3, 4)
 BITS = 16
 DIM = 16
 PER_LANGUAGE = 500
-MAX_FEATURES = 4096
+SAMPLE_BYTES = 64_000_000
 EPOCHS = 6
 RATE = 2.0
 MIN_SCORE = 0.5
@@ -66,11 +68,8 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares, the most frequent ones if there are too many."""
+    """Buckets of a text (2**BITS at most) and their shares."""
     found, count = np.unique(subwords(words)[0] if words else np.zeros(0, np.int64), return_counts=True)
-    if len(found) > MAX_FEATURES:
-        top = np.sort(np.argsort(-count, kind="stable")[:MAX_FEATURES])
-        found, count = found[top], count[top]
     return found.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)
 
 
@@ -136,34 +135,37 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], held: list[tuple[st
     return Model(languages, flat.astype(np.float32), bias if n else np.zeros(1, np.float32), temperature)
 
 
-def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learn from the rows that ``where`` allows and whose language is not null."""
     rows = docs.where(F.lit(True) if where is None else where).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     if not counts:
         return train([], [])
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    most = sample_bytes / len(counts)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"], most / max(1, r["bytes"] or 0)))])
+    drawn = F.xxhash64("doc_id", "text", F.lit(7))
+    chosen = rows.withColumn("drawn", drawn).where(F.pmod("drawn", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).dropDuplicates(["doc_id", "text", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, lang, drawn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text or "")
-                rng = np.random.default_rng(doc or 0)
+                rng = np.random.default_rng(drawn % (1 << 64))
                 for k in range(3 if len(words) > 12 else 1):
                     start, size = rng.integers(0, len(words) - 10) if k else 0, rng.integers(2, 11)
                     ids, weight = features(words[start : start + size] if k else words)
                     if len(ids):
-                        out.append((doc, k, lang, ids.tobytes(), weight.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "part", "lang", "ids", "weight"])
+                        out.append((drawn, k, lang, ids.tobytes(), weight.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["drawn", "part", "lang", "ids", "weight"])
 
     ship(docs.sparkSession)
-    got = chosen.mapInArrow(run, "doc_id long, part int, lang string, ids binary, weight binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (-1 if r["doc_id"] is None else r["doc_id"], r["part"], r["lang"], r["ids"]))
-    made = [((r["doc_id"] or 0) % 97 % 5 == 0, (r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["weight"], np.float32))) for r in got]
-    return train([x for held, x in made if not held] or [x for _, x in made], [x for held, x in made if held])
+    got = chosen.mapInArrow(run, "drawn long, part int, lang string, ids binary, weight binary").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["drawn"], r["part"], r["lang"], r["ids"]))
+    made = [((r["drawn"] >> 20) % 97 % 5 == 0, (r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["weight"], np.float32))) for r in got]
+    met = {x[0] for held, x in made if not held}
+    return train([x for held, x in made if not held or x[0] not in met], [x for held, x in made if held])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, keep: bool = False) -> DataFrame:
@@ -177,15 +179,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable(sent.value.rows)
         for batch in batches:
-            texts = batch.column(at[1]).to_pylist()
-            langs, scores = [], []
-            for part in slices(texts):
-                for all_, some in zip((langs, scores), sent.value.predict(texts[part], words), strict=True):
-                    all_ += some
-            bad = [x == "und" or s < min_score for x, s in zip(langs, scores, strict=True)]
-            if keep:
-                yield batch.filter(pa.array([not x for x in bad], pa.bool_()))
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bad, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+            for part in portions(batch, at[1]):
+                yield judged(part, words)
+        del words
+        release()
+
+    def judged(batch: pa.RecordBatch, words: WordTable) -> pa.RecordBatch:
+        langs, scores = sent.value.predict(batch.column(at[1]).to_pylist(), words)
+        bad = [x == "und" or s < min_score for x, s in zip(langs, scores, strict=True)]
+        if keep:
+            return batch.filter(pa.array([not x for x in bad], pa.bool_()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bad, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     return rows.mapInArrow(run, docs.schema if keep else SCHEMA)

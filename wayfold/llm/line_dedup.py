@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join: a line goes if an earlier one is within one edit of it.
 
 Lines are the ``\\n``-split pieces of a text without the ASCII blanks around them; empty ones are left
-alone.  Lines are ordered by (document id, line number).  A line is removed if any earlier line equals it or, both having
+alone.  Lines are ordered by (document, line number).  A line is removed if any earlier line equals it or, both having
 ``MIN_EDIT`` characters or more, has edit distance 1 from it (one character inserted, deleted or replaced), whether or not that line is itself removed, so the earliest always
 stays.
 
@@ -19,7 +19,9 @@ paired up: a group of a million similar lines costs rows in proportion.  Rows th
 each join of large tables by a filter of fixed size; texts without candidates or removals are never shuffled.
 
 Documents with nothing left of what was there are dropped by ``dedup_lines``; null, empty and untouched texts stay as they
-are.  Rows that share an id count as one document; rows with a null id are never changed and are nobody's earlier line.
+are.  Rows equal in id and text count as one document and get the same result; rows that share an id but differ in text are documents
+of their own, in the order of a hash of the text, and each loses its own lines only.  Rows with a null id are never changed and are
+nobody's earlier line.  Other columns pass through under any name.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, id_and_text, per_row, ship
+from wayfold.llm.common import cut, per_row, release, rows_and_text, ship, unused
 from wayfold.operators.bitmap import KeyFilter
 
 #: Shorter lines are no lines.
@@ -110,7 +112,7 @@ def third_level(line: str, shared: list[tuple[int, int]]) -> list[tuple[int, boo
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_lines, and for the lines that count: number, hash and coarse variants."""
+    """doc_id, row, n_lines, and for the lines that count: number, hash and coarse variants."""
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         totals, found = [], []
@@ -120,9 +122,9 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             totals.append(len(lines) if text else 0)
             found.append([{"i": i, "h": hash_of(x), "keys": [k for k, _, _ in first_level(x)] if len(x) >= MIN_EDIT else []} for i, x in enumerate(lines) if len(x) >= MIN_CHARS])
         kind = pa.list_(pa.struct([("i", pa.int32()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int32()), pa.array(found, kind)], ["doc_id", "n_lines", "lines"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(totals, pa.int32()), pa.array(found, kind)], ["doc_id", "row", "n_lines", "lines"])
 
-    return per_row(id_and_text(docs, id_col, text_col), block, "doc_id long, n_lines int, lines array<struct<i: int, h: long, keys: array<long>>>")
+    return per_row(rows_and_text(docs, id_col, text_col), block, "doc_id long, row long, n_lines int, lines array<struct<i: int, h: long, keys: array<long>>>")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -131,51 +133,51 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """h, keeper_doc, keeper_line: each distinct line whose earliest line within one edit is a different, earlier one."""
-    flat = lines.select("doc_id", F.explode("lines").alias("x")).where("doc_id is not null").select("doc_id", "x.i", "x.h", F.posexplode("x.keys").alias("window", "key"))
+    """h, keeper_doc, keeper_row, keeper_line: each distinct line whose earliest line within one edit is a different, earlier one."""
+    flat = lines.select("doc_id", "row", F.explode("lines").alias("x")).where("doc_id is not null").select("doc_id", "row", "x.i", "x.h", F.posexplode("x.keys").alias("window", "key"))
     shared = cut(_shared(flat))
     found = cut(
         flat.where(KeyFilter(shared, "key").may_have(F.col("key")))
         .join(shared, "key")
         .groupBy("h")
-        .agg(F.min(F.struct("doc_id", "i")).alias("at"), F.collect_set("window").alias("windows"))
-        .groupBy("at.doc_id")
+        .agg(F.min(F.struct("doc_id", "row", "i")).alias("at"), F.collect_set("window").alias("windows"))
+        .groupBy("at.doc_id", "at.row")
         .agg(F.collect_list(F.struct("at.i", "h", "windows")).alias("lines"))
     )
-    texts = id_and_text(docs, id_col, text_col)
-    texts = texts.where(KeyFilter(found, "doc_id").may_have(F.col("doc_id"))).join(found, "doc_id").select("doc_id", "text", "lines")
+    texts = rows_and_text(docs, id_col, text_col)
+    texts = texts.where(KeyFilter(found, "row").may_have(F.col("row"))).join(found, ["doc_id", "row"]).select("doc_id", "row", "text", "lines")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, row, text, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 every = lines_of(text)
                 for x in some:
-                    line = every[x["i"]] if x["i"] < len(every) else ""
-                    if hash_of(line) == x["h"]:  # another row with this id may hold it
-                        level = first_level(line)
-                        out.append((doc, x["i"], x["h"], line, [dict(zip(("key", "lo", "hi"), y, strict=True)) for y in second_level(line, [level[w][1:] for w in x["windows"]])]))
+                    level = first_level(line := every[x["i"]])
+                    out.append((doc, row, x["i"], x["h"], line, [dict(zip(("key", "lo", "hi"), y, strict=True)) for y in second_level(line, [level[w][1:] for w in x["windows"]])]))
             kind = pa.list_(pa.struct([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
-            columns = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.string(), kind), strict=True)], ["doc_id", "i", "h", "line", "parts"])
+            columns = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), kind), strict=True)], ["doc_id", "row", "i", "h", "line", "parts"])
+        release()
 
     ship(docs.sparkSession)
-    some = cut(texts.mapInArrow(first, "doc_id long, i int, h long, line string, parts array<struct<key: long, lo: int, hi: int>>").dropDuplicates(["h"]))
+    some = cut(texts.mapInArrow(first, "doc_id long, row long, i int, h long, line string, parts array<struct<key: long, lo: int, hi: int>>").dropDuplicates(["h"]))
     fine = some.select("h", F.explode("parts").alias("p")).select("h", "p.key", "p.lo", "p.hi")
     narrow = fine.join(_shared(fine), "key").groupBy("h").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
-    left = some.drop("parts").join(narrow, "h").select("doc_id", "i", "h", "line", "parts")
+    left = some.drop("parts").join(narrow, "h").select("doc_id", "row", "i", "h", "line", "parts")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                (doc, i, h, key, whole)
-                for doc, i, h, line, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                (doc, row, i, h, key, whole)
+                for doc, row, i, h, line, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True)
                 for key, whole in third_level(line, [(p["lo"], p["hi"]) for p in parts])
             ]
-            columns = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "i", "h", "key", "whole"])
+            columns = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "row", "i", "h", "key", "whole"])
+        release()
 
-    variants = left.mapInArrow(last, "doc_id long, i int, h long, key long, whole boolean").select("h", "key", "whole", F.struct("doc_id", "i", "h").alias("at"))
+    variants = left.mapInArrow(last, "doc_id long, row long, i int, h long, key long, whole boolean").select("h", "key", "whole", F.struct("doc_id", "row", "i", "h").alias("at"))
     # A replacement key has variants only; a line of its own length is never its whole key's variant.
     least = variants.groupBy("key").agg(
         F.min(F.when(F.col("whole"), F.col("at"))).alias("of_whole"),
@@ -189,7 +191,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) ->
         variants.join(least, "key")
         .select("h", "at", F.when(F.col("whole"), F.col("of_variant")).otherwise(F.coalesce("of_whole", "of_variant")).alias("other"))
         .where("other < at")
-        .select("h", F.col("other.h").alias("other"), F.col("other.doc_id").alias("keeper_doc"), F.col("other.i").alias("keeper_line"))
+        .select("h", F.col("other.h").alias("other"), F.col("other.doc_id").alias("keeper_doc"), F.col("other.row").alias("keeper_row"), F.col("other.i").alias("keeper_line"))
         .distinct()
     )
     text = some.select("h", "line")
@@ -198,29 +200,31 @@ def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) ->
         .join(text.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other")
         .where(F.levenshtein("line", "other_line", 1).between(0, 1))
         .groupBy("h")
-        .agg(F.min(F.struct("keeper_doc", "keeper_line")).alias("k"))
-        .select("h", "k.keeper_doc", "k.keeper_line")
+        .agg(F.min(F.struct("keeper_doc", "keeper_row", "keeper_line")).alias("k"))
+        .select("h", "k.keeper_doc", "k.keeper_row", "k.keeper_line")
     )
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The packed lines, and doc_id, removed: line numbers (from 0) in order with the place of the earlier line."""
+    """The packed lines, and doc_id, row, removed: line numbers (from 0) in order with the place of the earlier line."""
     lines = cut(packed(docs, id_col, text_col))
-    flat = lines.select("doc_id", F.explode("lines").alias("x")).where("doc_id is not null").select("doc_id", "x.i", "x.h")
+    flat = lines.select("doc_id", "row", F.explode("lines").alias("x")).where("doc_id is not null").select("doc_id", "row", "x.i", "x.h")
     near = near_lines(docs, lines, id_col, text_col).withColumn("near", F.lit(True))
-    places = flat.groupBy("h").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.max(F.struct("doc_id", "i")).alias("last")).where("first != last").select("h", "first")
+    place = F.struct("doc_id", "row", "i")
+    places = flat.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first")
     decided = cut(
         places.join(near, "h", "full").select(
             "h",
             F.coalesce("near", F.lit(False)).alias("near"),
             F.coalesce("keeper_doc", "first.doc_id").alias("keeper_doc"),
+            F.coalesce("keeper_row", "first.row").alias("keeper_row"),
             F.coalesce("keeper_line", "first.i").alias("keeper_line"),
         )
     )
     gone = (
         flat.join(decided, "h")
-        .where("near or doc_id != keeper_doc or i != keeper_line")
-        .groupBy("doc_id")
+        .where("near or doc_id != keeper_doc or row != keeper_row or i != keeper_line")
+        .groupBy("doc_id", "row")
         .agg(F.sort_array(F.collect_set(F.struct("i", "keeper_doc", "keeper_line"))).alias("removed"))
     )
     return lines, gone
@@ -229,7 +233,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, and the removed lines with the place of an earlier line, of every row."""
     lines, gone = removals(docs, id_col, text_col)
-    return lines.select("doc_id", "n_lines").join(gone, "doc_id", "left").select(
+    return lines.select("doc_id", "row", "n_lines").join(gone, ["doc_id", "row"], "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.expr("array()")).alias("removed")
     )
 
@@ -244,12 +248,13 @@ def without(text: str, gone: list[int]) -> str | None:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without removed lines, and without the documents that had nothing else."""
     _, gone = removals(docs, id_col, text_col)
-    lists = cut(gone.select(F.col("doc_id").alias("_gone_id"), F.col("removed.i").alias("_gone")))
     names = docs.columns
     at = names.index(text_col)
-    touched = KeyFilter(lists, "_gone_id").may_have(F.col(id_col).cast("long"))
-    some = docs.where(touched)
-    joined = some.join(lists, some[id_col].cast("long") == F.col("_gone_id"), "left").select(*[some[c] for c in names], "_gone")
+    owner, row, numbers, mine = unused(docs, "_owner", "_row", "_numbers", "_mine")
+    lists = cut(gone.select(F.col("doc_id").alias(owner), F.col("row").alias(row), F.col("removed.i").alias(numbers)))
+    keyed = docs.withColumn(mine, F.xxhash64(F.col(text_col).cast("string")))
+    touched = KeyFilter(lists, row).may_have(F.col(mine))
+    joined = keyed.where(touched).join(lists, (F.col(id_col).cast("long") == F.col(owner)) & (F.col(mine) == F.col(row)), "left").select(*names, numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,5 +263,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             stays = np.array([g is None or n is not None for n, g in zip(new, gone_of, strict=True)], bool)
             columns = [pa.array(new, batch.column(at).type) if k == at else c for k, c in enumerate(batch.columns[: len(names)])]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays))
+        release()
 
-    return joined.mapInArrow(run, docs.schema).unionByName(docs.where(~touched))
+    ship(docs.sparkSession)
+    return joined.mapInArrow(run, docs.schema).unionByName(keyed.where(~touched).select(*names))

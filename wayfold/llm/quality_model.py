@@ -6,8 +6,8 @@ x is a presence vector over ``2**BITS`` hashed features: each distinct word (low
 (letters collapsed to a or A, digits to 0, other signs as they are), plus the share of words of each shape.  Features that fewer
 than ``MIN_DF`` sampled texts have keep weight 0.
 
-The model is fitted in numpy on the driver to a bounded sample: about ``sample`` rated texts, chosen by a hash of the id.
-A text rated several times takes its lowest grade; null grades are left out.  Prediction reads whole texts of all rows
+The model is fitted in numpy on the driver to a bounded sample: about ``sample`` rated texts, chosen by a hash of the id, each taken whole.
+A text rated several times takes its lowest grade; null grades are left out; a rated id with several texts gives the one with the least hash.  Prediction reads whole texts of all rows
 and gives the expected grade, P(grade >= top grade) as ``tail`` and ``kept`` (tail >= ``MIN_TAIL``).  A null or empty text is
 scored as one without features and is not kept.  Without any ratings every tail is 0 and nothing is kept.  Repeated rows give repeated
 rows.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import id_and_text, ship
+from wayfold.llm.common import id_and_text, portions, release, ship
 
 BITS = 18
 SAMPLE = 6000
@@ -35,8 +35,6 @@ STEPS = 150
 RATE = 0.1
 DECAY = 1e-4
 MIN_TAIL = 0.5
-#: Texts as long as this count as so many features at most in the sample's memory.
-MAX_FEATURES = 8192
 SCHEMA = "doc_id long, expected_grade double, tail double, kept boolean"
 _LOWER, _UPPER, _DIGIT = (re.compile(p) for p in (rb"(?:[a-z]|[\x80-\xff])+", rb"[A-Z]+", rb"\d+"))
 _PUNCTUATION = b".,;:!?\"'()"
@@ -46,7 +44,7 @@ def hashed(word: bytes) -> tuple[int, int]:
     """Buckets of a word and of its shape; shapes have the upper half."""
     shape = _DIGIT.sub(b"0", _UPPER.sub(b"A", _LOWER.sub(b"a", word)))
     half = 1 << (BITS - 1)
-    return crc32(word.strip(_PUNCTUATION).lower()) % half, half + crc32(shape[:16]) % half
+    return crc32(word.strip(_PUNCTUATION).lower()) % half, half + crc32(shape) % half
 
 
 @dataclass
@@ -68,7 +66,7 @@ class Model:
 def bag(words: list[bytes], held: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Present buckets; shape buckets with their shares of the words."""
     count = Counter(words)
-    if len(held) > 400_000:
+    if len(held) > 200_000:
         held.clear()
     for w in count:
         if w not in held:
@@ -131,7 +129,8 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     grades = ratings.select(F.col(id_col).cast("long").alias("rated"), F.col(grade_col).cast("int").alias("grade")).where("rated is not null and grade >= 0").groupBy("rated").agg(F.min("grade").alias("grade"))
     n = grades.count()
     chosen = grades.where(F.pmod(F.xxhash64("rated", F.lit(11)), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20))
-    rows = id_and_text(docs, id_col, text_col).join(chosen, F.col("doc_id") == F.col("rated")).select("doc_id", "text", "grade")
+    texts = id_and_text(docs, id_col, text_col).join(chosen, F.col("doc_id") == F.col("rated"))
+    rows = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("grade").alias("grade"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -139,7 +138,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
             out = []
             for doc, text, grade in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, (shapes, share) = bag((text or "").encode().split(), held)
-                out.append((doc, grade, ids[-MAX_FEATURES:].astype(np.int32).tobytes(), shapes.astype(np.int32).tobytes(), share.astype(np.float32).tobytes()))
+                out.append((doc, grade, ids.astype(np.int32).tobytes(), shapes.astype(np.int32).tobytes(), share.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["doc_id", "grade", "ids", "shapes", "share"])
 
     ship(docs.sparkSession)
@@ -155,10 +154,12 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole, 1)):
             texts = batch.column(1).to_pylist()
             p = sent.value.predict(texts, held)
             kept = [bool(x >= min_tail and t) for x, t in zip(p[:, -1], texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1), pa.float64()), pa.array(p[:, -1], pa.float64()), pa.array(kept, pa.bool_())], ["doc_id", "expected_grade", "tail", "kept"])
+        del held
+        release()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import decontaminate, language_id, line_dedup, quality_model, quality_rules, sentence_pieces, simhash, span_dedup, token_counts, url_filter
-from wayfold.llm.common import table
+from wayfold.llm.common import cut, table
 
 #: host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -39,8 +39,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = span_dedup.covered(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_sentences", F.size("removed").alias("n_removed"), "removed", "first_ids")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = cut(span_dedup.covered(docs))
+    left = span_dedup.rewritten(docs.withColumn("row", F.xxhash64("text")), found, all_rows=False)
+    return found.join(left, ["doc_id", "row"]).select("doc_id", "n_sentences", F.size("removed").alias("n_removed"), "removed", "first_ids", "text")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_pieces.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], with_ids=False).drop("ids")
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

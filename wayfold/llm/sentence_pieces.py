@@ -2,7 +2,9 @@
 
 The lattice of a text has a node before and after each character of its normalised form and an edge for every piece of the
 model that stands there, with the piece's score; a character that no piece holds alone has an edge of its byte pieces, with
-the lowest score less ``UNKNOWN``.  Forward Viterbi scores are the exact best value up to each node, and so an
+the lowest score less ``UNKNOWN``.  A merge model has no scores for that but ranks of its merges, from 0 in whole numbers, and sums of ranks
+are no likelihood: its pieces score the log of a frequency that follows from the rank by the law of Zipf and Mandelbrot, -log(rank + ``ZIPF``).  The best
+path then takes about as many pieces as the library's merges, not always the same ones (figures in README).  Forward Viterbi scores are the exact best value up to each node, and so an
 exact heuristic for the backward A* search, which takes segmentations off its heap best first.  Scores are whole millionths, so
 both directions add up alike.
 
@@ -13,6 +15,9 @@ best path.  A text's best segmentation is that of its chunks; any of its N best
 least first losses, so A* runs for those alone and their lists are merged.  The result is the N best of the whole text,
 ties going to the earlier chunk, then to the one found first.
 
+``encode`` gives the N best in short: the ids of the best, and each way as its score and the stretches of those ids that it changes;
+``segmentations`` makes whole ids of that.
+
 Decoding concatenates pieces, reads byte pieces as UTF-8, turns the blank sign into a space and drops the one that
 encoding put in front, as the library does.
 
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +40,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ship, slices
+from wayfold.llm.common import portions, release, ship, unused
 
 NBEST = 4
 UNKNOWN = 10
 UNIT = 1_000_000
 BLANK = "▁"
 #: Chunks that a worker holds at once.
-CACHE = 500_000
-SCHEMA = "ids array<int>, score double, nbest array<double>, n_ids long, ids_hash long, round_trip boolean"
-_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+CACHE = 200_000
+#: Added to ranks of a merge model before the logarithm.
+ZIPF = 100
+_NAMES = ["ids", "score", "nbest", "n_ids", "ids_hash", "round_trip"]
+SCHEMA = "ids array<int>, score double, nbest array<struct<score: double, changes: array<struct<at: int, size: int, ids: array<int>>>>>, n_ids long, ids_hash long, round_trip boolean"
+_CHANGES = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))]))
+_TYPES = [pa.list_(pa.int32()), pa.float64(), pa.list_(pa.struct([("score", pa.float64()), ("changes", _CHANGES)])), pa.int64(), pa.int64(), pa.bool_()]
 _FAR = np.iinfo(np.int64).max
 
 
@@ -60,7 +70,10 @@ class Pieces:
         self.unknown_id = sp.unk_id()
         plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.silent = {i for i in range(size) if sp.is_control(i)}
-        self.score = {self.text[i]: (round(sp.get_score(i) * UNIT), i) for i in plain}
+        value = {i: sp.get_score(i) for i in plain}
+        if plain and len(set(value.values())) > 0.9 * len(plain) and all(x <= 0 and x == int(x) for x in value.values()):  # ranks
+            value = {i: -math.log(ZIPF - x) for i, x in value.items()}
+        self.score = {self.text[i]: (round(value[i] * UNIT), i) for i in plain}
         self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
         self.lowest = min((s for s, _ in self.score.values()), default=0) - UNKNOWN * UNIT
         held = {c for p in self.score for c in p}
@@ -316,6 +329,15 @@ class Pieces:
             self.lists[chunk] = [(found[0][0] - s, ids) for s, ids in found if ids != best][: self.nbest - 1]  # among equals the best may be found later
         return self.lists[chunk]
 
+    def changes(self, found: tuple) -> list[dict]:
+        """Score of each of the N best of ``encode``, and what it changes: where in the best ids, how many of them, and the ids instead."""
+        _, best, ways, _, code = found
+        after = np.cumsum(self.length[code]) if len(ways) > 1 else None
+        return [
+            {"score": (best - loss) / UNIT, "changes": [{"at": int(after[p] - self.length[code[p]]), "size": int(self.length[code[p]]), "ids": changed[p]} for p in sorted(changed)]}
+            for loss, changed in ways
+        ]
+
     def nbest_ids(self, text: str | None) -> list[tuple[float, list[int]]]:
         """Score and ids of each of the N best segmentations."""
         _, best, ways, chunks, code = self.encode(text)
@@ -368,42 +390,37 @@ def pieces(path: str, nbest: int) -> Pieces:
     return Pieces(path, nbest)
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: str | None = None, nbest: int = NBEST, keep: list[str | Column] | None = None, with_ids: bool = True) -> DataFrame:
-    """The kept columns of every row with ids (null without ``with_ids``), score, the N best scores, n_ids, a hash of the ids, and whether decoding gives the text back."""
+def encode(docs: DataFrame, text_col: str = "text", model: str | None = None, nbest: int = NBEST, keep: list[str | Column] | None = None) -> DataFrame:
+    """The kept columns of every row with ids, score, the N best (score and changes to ids), n_ids, a hash of the ids, and whether decoding gives the text back."""
     path = model or public_tokenizers.path("piece_bpe_32k.model")
     ship(docs.sparkSession)
     names = [f"_kept{k}" for k in range(len(keep or ()))]
     kept = [F.col(c) if isinstance(c, str) else c for c in keep or ()]
     rows = docs.select(*[c.alias(n) for c, n in zip(kept, names, strict=True)], F.col(text_col).cast("string").alias("_text"))
     back = docs.select(*kept).columns
-    types = [pa.list_(pa.int32()), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solver = pieces(path, nbest)
         try:
             for batch in batches:
-                yield encoded(solver, batch)
+                for part in portions(batch, len(names)):
+                    yield encoded(solver, part)
         finally:
             solver.clear()  # the worker lives on for other tasks
+            release()
 
     def encoded(solver: Pieces, batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(len(names)).to_pylist()
-        scores, best_of, sizes, sums, back, ids = [], [], [], [], [], []
-        for part in slices(texts):
-            some = texts[part]
-            for text, (found, best, ways, _, _) in zip(some, solver.encode_many(some), strict=True):
-                scores.append(best / UNIT)
-                best_of.append([(best - loss) / UNIT for loss, _ in ways])
-                sizes.append(len(found))
-                sums.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
-                back.append(solver.decode(found) == (text or "").replace(BLANK, " "))
-                if with_ids:
-                    ids.append(found)
-        if with_ids:
-            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
-        else:
-            listed = pa.nulls(len(texts), types[0])
-        columns = [listed, *(pa.array(c, t) for c, t in zip((scores, best_of, sizes, sums, back), types[1:], strict=True))]
+        ids, scores, ways, sums, trips = [], [], [], [], []
+        for text, found in zip(texts, solver.encode_many(texts), strict=True):
+            ids.append(found[0])
+            scores.append(found[1] / UNIT)
+            ways.append(solver.changes(found))
+            sums.append(xxhash.xxh64_intdigest(found[0].tobytes()) - (1 << 63))
+            trips.append(solver.decode(found[0]) == (text or "").replace(BLANK, " "))
+        sizes = [len(x) for x in ids]
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
+        columns = [listed, *(pa.array(c, t) for c, t in zip((scores, ways, sizes, sums, trips), _TYPES[1:], strict=True))]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], [*names, *_NAMES])
 
     schema = ", ".join([*(f"{n} {dict(rows.dtypes)[n]}" for n in names), SCHEMA])
@@ -411,6 +428,14 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None, nb
     return out.select(*[F.col(n).alias(b) for n, b in zip(names, back, strict=True)], *_NAMES)
 
 
+def segmentations(encoded: DataFrame, rank: str = "rank") -> DataFrame:
+    """A row for each of the N best of every row of ``encode``: ``rank`` from 1, its score and its whole ids, beside the other columns."""
+    others = [c for c in encoded.columns if c not in _NAMES]
+    (way,) = unused(encoded, "_way")
+    whole = f"aggregate(reverse(array_sort({way}.changes)), ids, (acc, c) -> concat(slice(acc, 1, c.at), c.ids, slice(acc, c.at + c.size + 1, size(acc))))"
+    return encoded.select(*others, "ids", F.posexplode("nbest").alias(rank, way)).select(*others, (F.col(rank) + 1).alias(rank), f"{way}.score", F.expr(whole).alias("ids"))
+
+
 def decode(encoded: DataFrame, ids_col: str = "ids", into: str = "text", model: str | None = None) -> DataFrame:
     """The rows with the text of their ids; null ids give null."""
     path = model or public_tokenizers.path("piece_bpe_32k.model")

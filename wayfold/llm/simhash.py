@@ -16,19 +16,20 @@ are compared in blocks but never become rows.
 
 With ``least``, pairs are near duplicates if the exact Jaccard similarity of their sets of shingles is that or more, and the
 tree is not used: at similarity 0.8 fingerprints differ by some 10 bits and by up to 20, where unrelated ones
-differ by 32, so no bound of the tree closes a side.  Candidates come from an exact prefix join instead.  In any one
-order of all shingles, two sets of similarity t share one among the first ``n - ceil(t n) + 1`` of each; the order puts
-shingles that are common in a sample last, which moves work and never a result.  A candidate whose sizes rule the
-similarity out, or whose fingerprints differ by more than the radius, is left; the others are verified on whole sets.
-Every group that shares a shingle is compared with its three smallest sets first, and then only across the classes that these made.
-
-Exact copies are one fingerprint from the start.  Repeated ids give repeated rows; null ids take part and are never the
-smallest unless alone.
+differ by 32, so no bound of the tree closes a side.  Candidates come from ``BANDS`` hashed bands of ``ROWS`` minimum hashes each instead:
+two sets of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8 and more above.
+All sets of a band are first compared with its smallest; what that links is one class.  Then, in bands that still have
+several classes, sets of different classes are compared, in blocks of ``BLOCK`` sets of a band, by the parity of their shingles in ``PARITY`` buckets: two sets
+have at least as many shingles apart as parities, so a pair that this rules out is never a link, and what it leaves is
+verified on whole sets.  No group of sets is gathered anywhere, and rows grow with sets, not with pairs.
+
+Exact copies are one fingerprint (with ``least``, one set) from the start.  Repeated ids give repeated rows; null ids take part and are
+never the smallest unless alone.  ``without_near_duplicates`` tells rows apart by id and text: of each component the row with the
+smallest id (then the least hash of its text) stays, null ids last, and of rows equal in both one stays.  Other columns pass through under any name.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,23 +39,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, id_and_text, per_row, ship
+from wayfold.llm.common import cut, per_row, rows_and_text, ship, unused
 from wayfold.operators.bitmap import KeyFilter
 from wayfold.operators.components import connected_components
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
-#: Home fingerprints a shard should have, and the tree's largest depth and sample.
+#: Home fingerprints a shard should have; the tree's largest sample, and its largest depth (some 10 MB, for four thousand million fingerprints).
 SHARD = 4096
-DEPTH = 12
-SAMPLE = 1 << 17
-#: Documents sampled for common shingles, in how many of them a shingle is common, and how many the order knows.
-COMMON_SAMPLE = 8192
-COMMON = 4
-MAX_COMMON = 1 << 16
-#: Sets that all others of a group are compared with first.
-PIVOTS = 3
+SAMPLE = 1 << 18
+DEPTH = 20
+#: Minimum hashes of a band, and bands.
+ROWS = 5
+BANDS = 20
+#: Buckets of shingles whose parities bound how far two sets are apart.
+PARITY = 1024
+#: Sets of a band that are compared at once.
+BLOCK = 2048
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -79,14 +81,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return majority(shingles(text, shingle))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(named: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, row, fp (the 64 bits as a signed long) of each row of doc_id, text, row."""
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return per_row(id_and_text(docs, id_col, text_col), block, "doc_id long, fp long")
+    return per_row(named, block, "doc_id long, row long, fp long")
 
 
 class Tree:
@@ -102,13 +104,15 @@ class Tree:
             part = parts.pop(node)
             if len(part) > 1:
                 best = None
-                for v in rng.choice(part, min(8, len(part)), replace=False):
+                for v in rng.choice(part, 8, replace=False) if len(part) > 64 else part[:1]:
                     d = np.bitwise_count(part ^ v)
                     m = int(np.median(d))
                     cost = np.mean((d > m) & (d <= m + RADIUS)) + abs(np.mean(d <= m) - 0.5)
                     if best is None or cost < best[0]:
                         best = (cost, v, m)
                 self.point[node], self.median[node] = best[1:]
+            elif len(part):
+                self.point[node] = part[0] ^ np.uint64(0xFFFFFFFF)  # half its bits away
             inner = np.bitwise_count(part ^ self.point[node]) <= self.median[node]
             parts[2 * node], parts[2 * node + 1] = part[inner], part[~inner]
 
@@ -182,9 +186,9 @@ def links(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession
     n = distinct.count()
     depth = 0
-    while depth < DEPTH and n > SHARD << depth:
+    while depth < DEPTH and n > SHARD * 2**depth:
         depth += 1
-    share = min(1.0, (min(SAMPLE, 128 << depth)) / max(1, n))
+    share = min(1.0, min(SAMPLE, 128 << depth) / max(1, n))
     sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toPandas()["fp"].to_numpy(np.int64) if depth else np.zeros(0, np.int64)
     ship(spark)
     tree = spark.sparkContext.broadcast(Tree(np.sort(sample.view(np.uint64)), depth))
@@ -206,114 +210,152 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """sig (a hash of the set), doc_id, items (the set) of each row of doc_id, text."""
+    """sig (a hash of the set), items (the set) of each row of text."""
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(shingles(t.as_py(), shingle)) for t in batch.column(1)]
+        found = [np.unique(shingles(t.as_py(), shingle)) for t in batch.column(0)]
         sigs = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), batch.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["sig", "doc_id", "items"])
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), lists], ["sig", "items"])
 
-    return per_row(docs, block, "sig long, doc_id long, items array<long>")
+    return per_row(docs.select("text"), block, "sig long, items array<long>")
 
 
-def prefixes(docs: DataFrame, shingle: int, least: float, common: np.ndarray) -> DataFrame:
-    """doc_id, sig, n, fp, keys: the shingles of each row that come first, common ones (a sorted array) behind all others."""
-    ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(common)
+_MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 63, ROWS * BANDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(items: np.ndarray) -> np.ndarray:
+    """The keys of a set's bands."""
+    least = np.full(len(_MULTIPLIERS), np.uint64(2**64 - 1))
+    for k in range(0, len(items), 4096):
+        mixed = items[None, k : k + 4096] * _MULTIPLIERS[:, None]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, mixed.min(1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, ROWS).T:
+        key = (key ^ part) * np.uint64(0xC2B2AE3D27D4EB4F)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def parities(items: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls into each bucket."""
+    odd = np.bincount((items >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def packed(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, row, sig, n, fp, parity, keys of each row of doc_id, text, row; an empty set has no keys."""
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = np.append(sent.value, np.uint64(2**64 - 1))
-        sigs, sizes, fps, keys = [], [], [], []
+        sigs, sizes, fps, odd, keys = [], [], [], [], []
         for text in batch.column(1):
             every = shingles(text.as_py(), shingle)
             items = np.unique(every)
-            n = len(items)
-            first = n - math.ceil(least * n - 1e-9) + 1
-            late = known[np.searchsorted(known, items)] == items
-            order = np.concatenate([items[~late], items[late]])
             sigs.append(xxhash.xxh64_intdigest(items.tobytes(), SEED))
-            sizes.append(n)
+            sizes.append(len(items))
             fps.append(majority(every))
-            keys.append(order[:first].view(np.int64))
-        columns = [pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "sig", "n", "fp", "keys"])
+            odd.append(parities(items))
+            keys.append(bands(items).view(np.int64) if len(items) else [])
+        columns = [pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(odd, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "row", "sig", "n", "fp", "parity", "keys"])
 
-    return per_row(docs, block, "doc_id long, sig long, n int, fp long, keys array<long>")
+    return per_row(docs, block, "doc_id long, row long, sig long, n int, fp long, parity binary, keys array<long>")
 
 
-def candidates(lists: DataFrame, radius: int, least: float, later: bool) -> DataFrame:
-    """a, b: pairs of each list of (sig, n, fp, class), with its first sets only, or ``later`` the rest of different classes."""
+def across(members: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs of sets of one band (list, sig, class, n, parity) and of different classes that may be similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0)
-            for k in range(len(column)):
-                rows = column[k].values
-                sig, n, fp, of = (rows.field(x).to_numpy(zero_copy_only=False) for x in ("sig", "n", "fp", "class"))
-                fp = fp.view(np.uint64)
-                for start in range(PIVOTS if later else 0, len(sig) if later else min(PIVOTS, len(sig)), 64):
-                    block = slice(start, start + 64 if later else min(PIVOTS, len(sig)))
-                    at = np.arange(len(sig))[block]
-                    fits = np.minimum(n[block, None], n) >= least * np.maximum(n[block, None], n) - 1e-9
-                    fits &= np.bitwise_count(fp[block, None] ^ fp) <= radius
-                    fits &= np.arange(len(sig)) > at[:, None]
-                    if later:
-                        fits &= of[block, None] != of
-                    i, j = np.nonzero(fits)
-                    for c in range(0, len(i), 50_000):
-                        part = slice(c, c + 50_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(sig[at[i[part]]]), pa.array(sig[j[part]])], ["a", "b"])
-
-    return lists.select("sets").mapInArrow(run, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, packed: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    A band of more than ``BLOCK`` sets is dealt into blocks, and each pair of blocks is compared in a task of its own.
+    """
+    sized = members.groupBy("list").agg(F.count("*").alias("size")).select("list", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sized, "list").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sig", F.lit(5)), F.col("blocks"))).otherwise(0).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
+    dealt = dealt.select("list", "sig", "class", "n", "parity", "block", F.explode(others).alias("pair"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows["x"].iloc[0], rows["y"].iloc[0]
+        sig, of, n, block = (rows[c].to_numpy() for c in ("sig", "class", "n", "block"))
+        odd = np.frombuffer(b"".join(rows["parity"]), np.uint64).reshape(len(rows), -1)
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        out = []
+        for k in range(0, len(left), 64):
+            i = left[k : k + 64]
+            # both >= t (n - both) and apart = n - 2 both give apart <= n (1 - t) / (1 + t)
+            most = (n[i, None] + n[right]) * ((1 - least) / (1 + least)) + 1e-6
+            fits = (of[i, None] != of[right]) & (np.abs(n[i, None] - n[right]) <= most) & (sig[i, None] < sig[right] if x == y else True)
+            p, q = np.nonzero(fits)
+            near = np.bitwise_count(odd[i[p]] ^ odd[right[q]]).sum(1) <= most[p, q]
+            out.append(np.stack([sig[i[p[near]]], sig[right[q[near]]]], 1))
+        found = np.concatenate([np.zeros((0, 2), np.int64), *out])
+        return pd.DataFrame({"a": found.min(1), "b": found.max(1)})
+
+    ship(members.sparkSession)
+    return dealt.select("list", "pair.x", "pair.y", "sig", "class", "n", "parity", "block").groupBy("list", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs whose sets have the similarity."""
     pairs = cut(pairs)
     need = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-    ids = cut(packed.select("sig", "doc_id").join(need, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
-    some = texts.where(F.col("doc_id").isNull() | KeyFilter(ids, "doc_id").may_have(F.col("doc_id")))
-    sets = cut(_sets(some, shingle).join(need, "sig").dropDuplicates(["sig"]).select("sig", "items"))
+    of = cut(rows.select("sig", "row").join(need, "sig").groupBy("sig").agg(F.min("row").alias("row")).select("row"))
+    some = texts.where(KeyFilter(of, "row").may_have(F.col("row"))).join(of, "row").dropDuplicates(["row"])
+    sets = cut(_sets(some, shingle).dropDuplicates(["sig"]))
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("of_a")), "a").join(sets.select(F.col("sig").alias("b"), F.col("items").alias("of_b")), "b")
     shared = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("both"))
     return cut(shared.where(F.col("both") >= least * (F.col("n") - F.col("both")) - 1e-9).select("a", "b"))
 
 
-def similar(docs: DataFrame, shingle: int, radius: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """doc_id, sig, fp of every row of doc_id, text, and the pairs a, b of sets whose similarity links them."""
-    share = min(1.0, COMMON_SAMPLE / max(1, docs.count()))
-    sampled = docs.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    often = _sets(sampled, shingle).dropDuplicates(["sig"]).select(F.explode("items").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON)
-    common = np.sort(often.orderBy(F.desc("count"), "key").limit(MAX_COMMON).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
-    packed = cut(prefixes(docs, shingle, least, common))
-    flat = packed.select(F.explode("keys").alias("key"), "sig", "n", "fp")
-    shared = cut(flat.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("key"))
-    here = flat.where(KeyFilter(shared, "key").may_have(F.col("key"))).join(shared, "key")
-    lists = cut(here.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("sig", "n", "fp", F.lit(0).cast("long").alias("class")))).alias("sets")).select("sets").distinct())
-    first = verified(candidates(lists, radius, least, False), packed, docs, shingle, least)
-    open_ = lists.where(F.size("sets") > PIVOTS + 1)
-    if open_.isEmpty():
-        return packed, first
-    classes = connected_components(first, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("class"))
-    parts = open_.select(F.xxhash64("sets").alias("list"), F.explode("sets").alias("x")).select("list", "x.sig", "x.n", "x.fp").join(classes, "sig", "left").withColumn("class", F.coalesce("class", "sig"))
-    again = parts.groupBy("list").agg(F.sort_array(F.collect_list(F.struct("sig", "n", "fp", "class"))).alias("sets"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi")
-    return packed, first.union(verified(candidates(again, radius, least, True), packed, docs, shingle, least))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, least: float | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row; with ``least`` links are verified by Jaccard similarity."""
+def similar(docs: DataFrame, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, row, sig, fp of every row of doc_id, text, row, and the pairs a, b of sets whose similarity links them."""
+    rows = cut(packed(docs, shingle))
+    sets = rows.where("n > 0").select("sig", "n", "parity", "keys").dropDuplicates(["sig"])
+    flat = cut(sets.select("sig", F.explode("keys").alias("list")))
+    shared = cut(flat.groupBy("list").agg(F.min("sig").alias("first"), F.max("sig").alias("last")).where("first != last").select("list", "first"))
+    here = cut(flat.where(KeyFilter(shared, "list").may_have(F.col("list"))).join(shared, "list"))
+    first = verified(here.where("sig != first").select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct(), rows, docs, shingle, least)
+    found = connected_components(first, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("class"))
+    named = here.join(found, "sig", "left").select("list", "sig", F.coalesce("class", "sig").alias("class"))
+    mixed = named.groupBy("list").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("list")
+    members = cut(named.join(mixed, "list"))
+    facts = rows.where(KeyFilter(members, "sig").may_have(F.col("sig"))).select("sig", "n", "parity").dropDuplicates(["sig"])
+    return rows, first.union(verified(across(members.join(facts, "sig"), least), rows, docs, shingle, least))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None) -> DataFrame:
+    """doc_id, row (a hash of the text), fp, and root (a name of the component), of every row."""
+    named = rows_and_text(docs, id_col, text_col)
     if least is None:
-        if radius != RADIUS:
-            raise ValueError(f"the tree is built for {RADIUS} bits")
-        fps = cut(fingerprints(docs, id_col, text_col, shingle)).withColumn("key", F.col("fp"))
-        distinct = cut(fps.groupBy("key").agg(F.min("doc_id").alias("first")))
-        edges = links(distinct.select(F.col("key").alias("fp"))).toDF("a", "b")
+        rows = cut(fingerprints(named, shingle)).withColumn("key", F.col("fp"))
+        edges = links(rows.select("fp").distinct()).toDF("a", "b")
     else:
-        packed, edges = similar(id_and_text(docs, id_col, text_col), shingle, radius, least)
-        fps = packed.select("doc_id", "fp", F.col("sig").alias("key"))
-        distinct = cut(fps.groupBy("key").agg(F.min("doc_id").alias("first")))
+        rows, edges = similar(named, shingle, least)
+        rows = rows.select("doc_id", "row", "fp", F.col("sig").alias("key"))
     found = connected_components(edges, "a", "b").withColumnRenamed("node", "key")
-    rooted = cut(distinct.join(found, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root")))
-    component = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(component, "root").select("key", "component_id")
-    return fps.join(named, "key").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(found, "key", "left").select("doc_id", "row", "fp", F.coalesce("component", "key").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row; with ``least`` links are verified by Jaccard similarity."""
+    rows = cut(classes(docs, id_col, text_col, shingle, least))
+    component = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(component, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None) -> DataFrame:
+    """The rows of docs, one of each component."""
+    rows = cut(classes(docs, id_col, text_col, shingle, least))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    # A root with one row alone needs no decision.
+    kept = rows.groupBy("root").agg(F.min(place).alias("keep"), F.count("*").alias("size")).where("size > 1")
+    of = rows.join(kept, "root").select("doc_id", "row", (place == F.col("keep")).alias("stays"))
+    owner, row, stays, mine = unused(docs, "_owner", "_row", "_stays", "_mine")
+    decided = cut(of.distinct().select(F.col("doc_id").alias(owner), F.col("row").alias(row), F.col("stays").alias(stays)))
+    keyed = docs.withColumn(mine, F.xxhash64(F.col(text_col).cast("string")))
+    touched = KeyFilter(decided, row).may_have(F.col(mine))  # only these are shuffled
+    some = keyed.where(touched).join(decided, F.col(id_col).cast("long").eqNullSafe(F.col(owner)) & (F.col(mine) == F.col(row)), "left")
+    names = docs.columns
+    one = some.where(F.col(stays)).dropDuplicates([id_col, mine]).select(*names)
+    return one.unionByName(some.where(F.col(stays).isNull()).select(*names)).unionByName(keyed.where(~touched).select(*names))

@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from wayfold.llm.common import id_and_text, ship, slices
+from wayfold.llm.common import id_and_text, portions, release, ship
 
 #: Distinct pre-tokens and runs of them whose counts a worker holds between blocks.
-CACHE = 1_000_000
+CACHE = 500_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
 #: Texts of these characters are split by the pattern above; for others, whose classes depend on the Unicode version, the library's own splitter is asked.
@@ -131,13 +131,14 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(vocabulary)
         try:
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                tokens = [n for part in slices(texts) for n in counts.count(texts[part])]
+            for part in (x for batch in batches for x in portions(batch, 1)):
+                texts = part.column(1).to_pylist()
+                tokens = counts.count(texts)
                 sizes = [len((t or "").encode()) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
         finally:
             counts.clear()  # the worker lives on for other tasks
+            release()
 
     ship(docs.sparkSession)
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)

@@ -8,7 +8,7 @@ then ``block``.  A URL that no rule fits gets ``DEFAULT``.
 
 The host is what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; the path goes
 on up to ``?``, ``#`` or the end.  A null URL, or one without ``://``, has an empty host and path.  Repeated rows give
-repeated rows; an empty rule list is allowed.
+repeated rows; an empty rule list is allowed.  A rule with a null part fits nothing.
 
 The trie is broadcast only up to ``MAX_BROADCAST`` rules.  A longer list is joined instead: each URL's host suffixes meet the
 rules' hosts in an equi-join, with distinct (host, path) made first so that a hot page costs one row.
@@ -47,6 +47,8 @@ class Trie:
     def __init__(self, rules: Iterable[Rule]):
         self.root: dict = {}
         for host, path, verdict in rules:
+            if host is None or path is None or verdict is None:
+                continue
             node = self.root
             for label in reversed(host.split(".")):
                 node = node.setdefault(label, {})
@@ -110,7 +112,7 @@ def _joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = split.select("host", "path").distinct()
-    named = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")).distinct()
+    named = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")).dropna().distinct()
     rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), F.col("rule_verdict") == "block", F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict")
     best = (
         hosts.select("host", "path", F.explode(suffixes).alias("rule_host"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words whose rows a worker holds between batches.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class WordTable:
