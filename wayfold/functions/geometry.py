@@ -132,16 +132,27 @@ def undirected_angle(dx1: Column, dy1: Column, dx2: Column, dy2: Column) -> Colu
 
 def clip(x1: Column, y1: Column, x2: Column, y2: Column, w: float, s: float, e: float, n: float) -> Column:
     """Entry and exit of a segment through a box as t0 and t1 (Liang-Barsky); null if it stays outside, t0 = t1 where it touches."""
-    low, high = F.lit(0.0), F.lit(1.0)
-    misses = F.lit(False)
+    lows, highs, misses = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
     for d, inside in ((x2 - x1, x1 - w), (x1 - x2, e - x1), (y2 - y1, y1 - s), (y1 - y2, n - y1)):
-        t = -inside / F.when(d == 0, F.lit(1.0)).otherwise(d)
-        low = F.when(d > 0, F.greatest(low, t)).otherwise(low)
-        high = F.when(d < 0, F.least(high, t)).otherwise(high)
+        lows.append(F.when(d > 0, -inside / d))  # greatest and least leave nulls out
+        highs.append(F.when(d < 0, -inside / d))
         misses = misses | ((d == 0) & (inside < 0))
+    low, high = F.greatest(*lows), F.least(*highs)
     return F.when(~misses & (low <= high), F.struct(low.alias("t0"), high.alias("t1")))
 
 
+def segments_cross(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
+    """Whether two segments (x1, y1, x2, y2) cross in their insides; touching ends have distance 0 anyway."""
+    side = lambda s, x, y: (s[2] - s[0]) * (y - s[1]) - (s[3] - s[1]) * (x - s[0])
+    return (side(a, b[0], b[1]) * side(a, b[2], b[3]) < 0) & (side(b, a[0], a[1]) * side(b, a[2], a[3]) < 0)
+
+
+def segment_segment(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
+    """Distance of two segments: 0 where they cross, else the least of an end to the other segment."""
+    ends = [point_segment(a[0], a[1], *b), point_segment(a[2], a[3], *b), point_segment(b[0], b[1], *a), point_segment(b[2], b[3], *a)]
+    return F.when(segments_cross(a, b), F.lit(0.0)).otherwise(F.least(*ends))
+
+
 def mercator_to_wgs84(x: Column, y: Column) -> Column:
     """Spherical web mercator metres to degrees."""
     radius = 6378137.0

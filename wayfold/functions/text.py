@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-KANJI_DIGITS = "一二三四五六七八九"
+KANJI_DIGITS = "〇一二三四五六七八九"
 
 
 @F.pandas_udf(StringType())
@@ -28,7 +28,7 @@ def search_key(text: pd.Series) -> pd.Series:
 
 def search_form(text: str) -> str:
     text = re.sub(r"[\s・]", "", unicodedata.normalize("NFKC", text).lower())
-    text = re.sub(f"[{KANJI_DIGITS}](?=丁目)", lambda m: str(KANJI_DIGITS.index(m[0]) + 1), text)
+    text = re.sub(f"[{KANJI_DIGITS}](?=丁目)", lambda m: str(KANJI_DIGITS.index(m[0])), text)
     text = re.sub(r"^(r|国道)(?=\d)", "", text)
     return re.sub("号$", "", text)
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.functions import geometry as g
+from wayfold.operators.components import cut
+
 
 def cell(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(size)).cast("long")
@@ -23,6 +28,18 @@ def grid_distance_join(points: DataFrame, others: DataFrame, radius: float, x: s
     return here.join(spread, ["_cx", "_cy"]).withColumn(distance, far).where(F.col(distance) <= radius).drop("_cx", "_cy")
 
 
+def along(segments: DataFrame, radius: float, size: float, ends: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
+    """The segments, once for each cell (``_cx``, ``_cy``) that their course, widened by the radius, passes."""
+    x1, y1, x2, y2 = (F.col(c) for c in ends)
+    columns = F.sequence(cell(F.least(x1, x2) - radius, size), cell(F.greatest(x1, x2) + radius, size))
+    wide = segments.withColumn("_cx", F.explode(columns))
+    dx = x2 - x1
+    at = lambda edge: F.when(dx == 0, F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - x1) / F.when(dx == 0, F.lit(1.0)).otherwise(dx))))
+    ya = F.coalesce(y1 + at(F.col("_cx") * size - radius) * (y2 - y1), y1)
+    yb = F.coalesce(y1 + at((F.col("_cx") + 1) * size + radius) * (y2 - y1), y2)
+    return wide.withColumn("_cy", F.explode(F.sequence(cell(F.least(ya, yb) - radius, size), cell(F.greatest(ya, yb) + radius, size))))
+
+
 def grid_segment_join(points: DataFrame, segments: DataFrame, radius: float, distance: Column, x: str = "x", y: str = "y", ends: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2"), size: float | None = None) -> DataFrame:
     """All pairs of a point and a segment within the radius; ``distance`` is an expression over both sides' columns.
 
@@ -31,13 +48,38 @@ def grid_segment_join(points: DataFrame, segments: DataFrame, radius: float, dis
     takes cells in proportion to its length.
     """
     size = size or radius
-    x1, y1, x2, y2 = (F.col(c) for c in ends)
-    columns = F.sequence(cell(F.least(x1, x2) - radius, size), cell(F.greatest(x1, x2) + radius, size))
-    wide = segments.withColumn("_cx", F.explode(columns))
-    dx = x2 - x1
-    at = lambda edge: F.when(dx == 0, F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - x1) / F.when(dx == 0, F.lit(1.0)).otherwise(dx))))
-    ya = F.coalesce(y1 + at(F.col("_cx") * size - radius) * (y2 - y1), y1)
-    yb = F.coalesce(y1 + at((F.col("_cx") + 1) * size + radius) * (y2 - y1), y2)
-    wide = wide.withColumn("_cy", F.explode(F.sequence(cell(F.least(ya, yb) - radius, size), cell(F.greatest(ya, yb) + radius, size))))
+    wide = along(segments, radius, size, ends)
     here = points.withColumn("_cx", cell(F.col(x), size)).withColumn("_cy", cell(F.col(y), size))
     return here.join(wide, ["_cx", "_cy"]).withColumn("distance", distance).where(F.col("distance") <= radius).drop("_cx", "_cy")
+
+
+def segments_within(ones: DataFrame, others: DataFrame, radius: float, keys: list[str], okeys: list[str]) -> DataFrame:
+    """Distinct keys of both sides where a segment of the one is within the radius of a segment of the other, with their least distance.
+
+    Both have x1, y1, x2, y2; the others' columns are renamed.  The ones go to the cells that they pass, the others to those that they pass
+    widened by the radius, so two segments that come near in their insides, or cross, meet in a cell.
+    """
+    here = along(ones.select(*keys, "x1", "y1", "x2", "y2"), 0.0, radius)
+    there = along(others.select(*okeys, "x1", "y1", "x2", "y2"), radius, radius).withColumnsRenamed({"x1": "_x1", "y1": "_y1", "x2": "_x2", "y2": "_y2"})
+    far = g.segment_segment(tuple(map(F.col, ("x1", "y1", "x2", "y2"))), tuple(map(F.col, ("_x1", "_y1", "_x2", "_y2"))))
+    return here.join(there, ["_cx", "_cy"]).withColumn("distance", far).where(F.col("distance") <= radius).groupBy(*keys, *okeys).agg(F.min("distance").alias("distance"))
+
+
+def nearest_distance(points: DataFrame, segments: DataFrame, keys: list[str], radius: float, into: str = "distance") -> DataFrame:
+    """keys and the distance to the nearest segment, of every point (x, y), however far; none without segments.
+
+    Points without a segment within the radius are asked again with four times the radius, so each is compared with segments some
+    times as far as its nearest at most.
+    """
+    d = g.point_segment(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
+    parts = []
+    left = points.select(*keys, "x", "y")
+    if segments.isEmpty():
+        return left.select(*keys, F.lit(None).cast("double").alias(into)).limit(0)
+    while True:
+        found = cut(left.join(grid_segment_join(left, segments, radius, d).groupBy(*keys).agg(F.min("distance").alias(into)), keys, "left"))
+        parts.append(found.where(F.col(into).isNotNull()).select(*keys, into))
+        left = found.where(F.col(into).isNull()).select(*keys, "x", "y")
+        if left.isEmpty():
+            return reduce(DataFrame.union, parts)
+        radius *= 4

@@ -41,10 +41,22 @@ def ambiguous_lookup(rows: DataFrame, key: str, fields: list[str], aliases: Data
     return rows.join(hit, key, "left").select(*rows.columns, F.when(F.col("_m._n") == 1, F.col("_m._entry")).alias(entry), (F.coalesce("_m._n", F.lit(0)) > 1).alias("ambiguous"))
 
 
-def overlay(automatic: DataFrame, include: DataFrame, exclude: DataFrame, key: str) -> DataFrame:
-    """(automatic without excluded) and included keys, with their source; an automatic row wins over an included one of its key."""
-    kept = automatic.join(exclude.select(key).distinct(), key, "left_anti").select(key).distinct().withColumn("source", F.lit("auto"))
-    added = include.select(key).distinct().join(kept, key, "left_anti").withColumn("source", F.lit("manual"))
+def overlay(automatic: DataFrame, include: DataFrame, exclude: DataFrame, key: str, pool: DataFrame | None = None) -> DataFrame:
+    """key, source and whether the key was automatic: automatic keys that are neither excluded nor included, and every included key as a manual one.
+
+    A key that is both included and excluded, and with a pool a key that the pool lacks, is an error.
+    """
+    manual, out = include.select(key).distinct(), exclude.select(key).distinct()
+    both = manual.join(out, key, "left_semi").orderBy(key).first()
+    if both:
+        raise ValueError(f"{key} {both[0]} is both included and excluded")
+    if pool is not None:
+        unknown = manual.union(out).join(pool.select(key), key, "left_anti").orderBy(key).first()
+        if unknown:
+            raise ValueError(f"{key} {unknown[0]} is none of the rows to choose from")
+    auto = automatic.select(key).distinct()
+    kept = auto.join(out.union(manual), key, "left_anti").select(key, F.lit("accepted-auto").alias("source"), F.lit(True).alias("automatic"))
+    added = manual.join(auto.withColumn("automatic", F.lit(True)), key, "left").select(key, F.lit("accepted-manual").alias("source"), F.coalesce("automatic", F.lit(False)).alias("automatic"))
     return kept.union(added)
 
 

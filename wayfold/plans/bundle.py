@@ -7,9 +7,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.functions import geometry as g
 from wayfold.functions import text as t
-from wayfold.functions.projection import padded_bounds
+from wayfold.functions.projection import padded_bounds, to_metres, utm
 from wayfold.operators import grid
 from wayfold.sources.cache import BOUNDS, with_bounds
 from wayfold.sources.features import geojson_lines, vertices
@@ -55,13 +54,21 @@ def in_box(rows: DataFrame, box: tuple[float, float, float, float]) -> DataFrame
 
 
 def near_roads(routes: DataFrame, roads: DataFrame, kilometres: float) -> DataFrame:
-    """Whole routes of which a vertex is within a distance of a road, by a grid in degrees and great-circle lengths."""
-    degrees = kilometres / 111.32
-    at = lambda rows, x, y: rows.select("id", F.explode(F.flatten(F.flatten("geom.polys"))).alias("p")).select("id", F.col("p.x").alias(x), F.col("p.y").alias(y))
-    road, route = at(roads, "ox", "oy").drop("id"), at(routes, "x", "y")
-    wide = grid.grid_distance_join(route, road, degrees * 2)
-    near = wide.where(g.haversine_km(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")) <= kilometres).select("id").distinct()
-    return routes.join(near, "id", "left_semi")
+    """Whole routes that come within a distance of a road anywhere along their course, in metres of the UTM zone of the roads' middle."""
+    box = with_bounds(roads).agg(F.min("bbox_west"), F.max("bbox_east")).first()
+    if box[0] is None:
+        return routes.limit(0)
+    zone = utm((box[0] + box[1]) / 2)
+
+    def pieces(rows: DataFrame, key: str) -> DataFrame:
+        lines = rows.select(F.col("id").alias(key), F.explode("geom.polys").alias("poly")).select(key, F.posexplode("poly").alias("part", "line"), F.col("poly"))
+        flat = lines.select(key, F.xxhash64("poly").alias("poly"), "part", F.posexplode("line").alias("i", "p")).withColumn("m", to_metres(F.col("p.x"), F.col("p.y"), zone))
+        at = flat.groupBy(key, "poly", "part").agg(F.sort_array(F.collect_set(F.struct("i", "m.x", "m.y"))).alias("line"))
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("line") - 2, F.lit(0))), lambda k: F.struct(F.get("line", k).alias("a"), F.coalesce(F.get("line", k + 1), F.get("line", k)).alias("b")))
+        return at.select(key, F.explode(pairs).alias("s")).select(key, F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+
+    near = grid.segments_within(pieces(routes, "id"), pieces(roads, "road").drop("road"), kilometres * 1000, ["id"], [])
+    return routes.join(near.select("id"), "id", "left_semi")
 
 
 def selected(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:

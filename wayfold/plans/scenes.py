@@ -143,8 +143,8 @@ def line_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many vectors of each label have bounds that meet, and cover, a box."""
-    box = F.struct(F.lit(-0.05).alias("w"), F.lit(-0.05).alias("s"), F.lit(0.05).alias("e"), F.lit(0.05).alias("n"))
-    r = _rings(spark, sf_dir).withColumn("b", g.bounds(F.slice("ring", 1, 3)))
+    box = F.struct(F.lit(-0.2).alias("w"), F.lit(0.1).alias("s"), F.lit(0.2).alias("e"), F.lit(0.25).alias("n"))
+    r = _rings(spark, sf_dir).withColumn("b", g.bounds(F.col("ring")))
     return r.groupBy("label").agg(F.count_if(g.bbox_overlaps(F.col("b"), box)).alias("n_meet"), F.count_if(g.bbox_covers(F.col("b"), box)).alias("n_cover"), F.count("*").alias("n"))
 
 
@@ -229,8 +229,8 @@ SELECT user_id, count(*) AS n_changes, min(i) AS first FROM q WHERE event_type <
     "point_in_ring": f"""WITH {_RINGS}, c AS (SELECT vec_id, avg(x) AS cx, avg(y) AS cy FROM v GROUP BY vec_id)
 SELECT vec_id, count(*) FILTER (WHERE (y > cy) <> (y2 > cy) AND cx < (x2 - x) * (cy - y) / (y2 - y) + x) % 2 = 1 AS inside FROM e JOIN c USING (vec_id) GROUP BY vec_id""",
     "line_length": f"""WITH {_RINGS} SELECT vec_id, round(sum(CASE WHEN i < n - 1 THEN sqrt((x2 - x) ** 2 + (y2 - y) ** 2) ELSE 0 END), 5) AS length, round(sum(CASE WHEN i = n - 1 THEN sqrt((x2 - x) ** 2 + (y2 - y) ** 2) ELSE 0 END), 5) AS chord FROM e GROUP BY vec_id""",
-    "bbox_overlap": f"""WITH {_RINGS}, b AS (SELECT vec_id, any_value(label) AS label, min(x) AS w, min(y) AS s, max(x) AS ea, max(y) AS n FROM v WHERE i < 3 GROUP BY vec_id)
-SELECT label, count(*) FILTER (WHERE NOT (ea < -0.05 OR 0.05 < w OR n < -0.05 OR 0.05 < s)) AS n_meet, count(*) FILTER (WHERE w <= -0.05 + 1e-7 AND s <= -0.05 + 1e-7 AND ea >= 0.05 - 1e-7 AND n >= 0.05 - 1e-7) AS n_cover, count(*) AS n FROM b GROUP BY label""",
+    "bbox_overlap": f"""WITH {_RINGS}, b AS (SELECT vec_id, any_value(label) AS label, min(x) AS w, min(y) AS s, max(x) AS ea, max(y) AS n FROM v GROUP BY vec_id)
+SELECT label, count(*) FILTER (WHERE NOT (ea < -0.2 OR 0.2 < w OR n < 0.1 OR 0.25 < s)) AS n_meet, count(*) FILTER (WHERE w <= -0.2 + 1e-7 AND s <= 0.1 + 1e-7 AND ea >= 0.2 - 1e-7 AND n >= 0.25 - 1e-7) AS n_cover, count(*) AS n FROM b GROUP BY label""",
     "delta_decode": """WITH v AS (SELECT vec_id, i, CAST(round(embedding[2 * i + 1] * CAST(1000 AS FLOAT)) AS BIGINT) AS dx, CAST(round(embedding[2 * i + 2] * CAST(1000 AS FLOAT)) AS BIGINT) AS dy FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 2)) AS i FROM embeddings)),
 s AS (SELECT vec_id, CAST(sum(dx) OVER (PARTITION BY vec_id ORDER BY i) AS BIGINT) AS x, CAST(sum(dy) OVER (PARTITION BY vec_id) AS BIGINT) AS ty, CAST(sum(dx) OVER (PARTITION BY vec_id) AS BIGINT) AS tx FROM v)
 SELECT vec_id, round(any_value(tx) * 0.01::DOUBLE + 139, 6) AS x, round(any_value(ty) * 0.01::DOUBLE + 35, 6) AS y, min(x) AS west FROM s GROUP BY vec_id""",

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as g
 from wayfold.operators import grid, islands, polyline
+from wayfold.operators.components import cut
 from wayfold.plans import matching
 from wayfold.plans.matching import own
 from wayfold.plans.tables import POINTS, SEGMENTS, points, samples_sql, segments, table
 
 STEP = 25.0
 RADIUS = 10.0
-MEDIAN, P90 = 4.0, 8.0
+MEDIAN, P90 = 40.0, 90.0
 
 
 def traj_length(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +55,15 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traj_residual_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """how far each polyline's samples are from the reference, among those near it."""
-    return _near(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n_near"), F.round(F.min("d"), 3).alias("min_d"), F.round(F.percentile("d", F.lit(0.5)), 3).alias("median_d"), F.round(F.percentile("d", F.lit(0.9)), 3).alias("p90_d"))
+    """Of every polyline with a sample within RADIUS of the reference, how far all its samples are, near and far ones."""
+    segs = segments(spark, sf_dir)
+    first = segs.agg(F.min("user_id").alias("reference"))
+    ref = cut(segs.join(first, F.col("user_id") == F.col("reference"), "left_semi").select("x1", "y1", "x2", "y2"))
+    s = polyline.samples(segs, "user_id", STEP).select("user_id", "sample", "x", "y")
+    d = g.point_segment(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
+    shortlist = grid.grid_segment_join(s, ref, RADIUS, d).select("user_id").distinct()
+    every = grid.nearest_distance(s.join(shortlist, "user_id", "left_semi"), ref, ["user_id", "sample"], 4 * RADIUS, "d").groupBy("user_id", "sample").agg(F.min("d").alias("d"))
+    return every.groupBy("user_id").agg(F.count("*").alias("n_samples"), F.round(F.min("d"), 3).alias("min_d"), F.round(F.percentile("d", F.lit(0.5)), 3).alias("median_d"), F.round(F.percentile("d", F.lit(0.9)), 3).alias("p90_d"))
 
 
 def traj_residual_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,17 +165,18 @@ def continuity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each polyline clipped to a box; the pieces of consecutive segments are one fragment."""
-    s = segments(spark, sf_dir).withColumn("c", g.clip(*map(F.col, ("x1", "y1", "x2", "y2")), 100.0, 20.0, 500.0, 120.0)).where("c is not null and c.t0 < c.t1")
+    s = segments(spark, sf_dir).select("user_id", "seg", (F.col("to") - F.col("from")).alias("size"), F.explode(F.array(g.clip(*map(F.col, ("x1", "y1", "x2", "y2")), 100.0, 20.0, 500.0, 120.0))).alias("c"))
+    s = s.select("user_id", "seg", "size", F.col("c.t0").alias("t0"), F.col("c.t1").alias("t1")).where("t0 < t1")  # exploded: the clip is worked out once
     w = Window.partitionBy("user_id").orderBy("seg")
-    joined = (F.lag("seg").over(w) == F.col("seg") - 1) & (F.lag("c.t1").over(w) == 1) & (F.col("c.t0") == 0)
+    joined = (F.lag("seg").over(w) == F.col("seg") - 1) & (F.lag("t1").over(w) == 1) & (F.col("t0") == 0)
     s = s.withColumn("fragment", F.sum((~F.coalesce(joined, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    size = (F.col("c.t1") - F.col("c.t0")) * (F.col("to") - F.col("from"))
+    size = (F.col("t1") - F.col("t0")) * F.col("size")
     return s.groupBy("user_id", "fragment").agg(F.count("*").alias("n_segments"), F.min("seg").cast("long").alias("first_seg"), F.round(F.sum(size), 3).alias("length")).withColumn("fragment", F.col("fragment").cast("long"))
 
 
 def box_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with a segment that meets a dragged box, touching included."""
-    s = segments(spark, sf_dir).withColumn("c", g.clip(*map(F.col, ("x1", "y1", "x2", "y2")), 100.0, 300.0, 101.0, 320.0))
+    s = segments(spark, sf_dir).withColumn("c", g.clip(*map(F.col, ("x1", "y1", "x2", "y2")), 100.0, 30.0, 130.0, 60.0))
     return s.where("c is not null").groupBy("user_id").agg(F.count("*").alias("n_segments"))
 
 
@@ -188,9 +197,9 @@ def line_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End point of the first 40 per cent of each polyline."""
     s = segments(spark, sf_dir)
     whole = s.groupBy("user_id").agg(F.max("to").alias("whole"))
-    cut = s.join(whole, "user_id").withColumn("goal", F.col("whole") * 0.4).where("`from` <= goal and goal < `to`")
+    inside = s.join(whole, "user_id").withColumn("goal", F.col("whole") * 0.4).where("`from` <= goal and goal < `to`")
     t = (F.col("goal") - F.col("from")) / (F.col("to") - F.col("from"))
-    return cut.select("user_id", F.col("seg").cast("long").alias("seg"), F.round(F.col("x1") + t * (F.col("x2") - F.col("x1")), 3).alias("x"), F.round(F.col("y1") + t * (F.col("y2") - F.col("y1")), 3).alias("y"))
+    return inside.select("user_id", F.col("seg").cast("long").alias("seg"), F.round(F.col("x1") + t * (F.col("x2") - F.col("x1")), 3).alias("x"), F.round(F.col("y1") + t * (F.col("y2") - F.col("y1")), 3).alias("y"))
 
 
 def dominant_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,9 +260,9 @@ near AS (
     FROM samples s, ref r) s
   GROUP BY s.user_id, s.sample HAVING min(sqrt((s.x - (x1 + t * (x2 - x1))) ** 2 + (s.y - (y1 + t * (y2 - y1))) ** 2)) <= {RADIUS})"""
 
-_STATS = _NEAR + """,
+_STATS = _NEAR[: _NEAR.rindex(" HAVING")] + f"""),
 stats AS (
-  SELECT user_id, count(*) AS n_near, round(min(d), 3) AS min_d, round(quantile_cont(d, 0.5), 3) AS median_d, round(quantile_cont(d, 0.9), 3) AS p90_d FROM near GROUP BY user_id)"""
+  SELECT user_id, count(*) AS n_samples, round(min(d), 3) AS min_d, round(quantile_cont(d, 0.5), 3) AS median_d, round(quantile_cont(d, 0.9), 3) AS p90_d FROM near GROUP BY user_id HAVING min(d) <= {RADIUS})"""
 
 _COVERED = _NEAR + """,
 flags AS (SELECT s.user_id, s.sample, n.d IS NOT NULL AS hit FROM (SELECT DISTINCT user_id, sample FROM samples) s LEFT JOIN near n USING (user_id, sample))"""
@@ -359,5 +368,5 @@ inbox AS (SELECT * FROM clipped WHERE t0 < t1),
 marked AS (SELECT *, CASE WHEN lag(seg) OVER w = seg - 1 AND lag(t1) OVER w = 1 AND t0 = 0 THEN 0 ELSE 1 END AS new FROM inbox WINDOW w AS (PARTITION BY user_id ORDER BY seg)),
 numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY seg) AS BIGINT) AS fragment FROM marked)
 SELECT user_id, fragment, count(*) AS n_segments, min(seg) AS first_seg, round(sum((t1 - t0) * ("to" - "from")), 3) AS length FROM numbered GROUP BY user_id, fragment""",
-    "box_select": f"WITH {_clip_sql(100.0, 300.0, 101.0, 320.0)} SELECT user_id, count(*) AS n_segments FROM clipped GROUP BY user_id",
+    "box_select": f"WITH {_clip_sql(100.0, 30.0, 130.0, 60.0)} SELECT user_id, count(*) AS n_segments FROM clipped GROUP BY user_id",
 }
