@@ -116,6 +116,12 @@ def point_line(x: Column, y: Column, line: Column) -> Column:
     return F.array_min(F.transform(_pairs(line), lambda p: point_segment(x, y, p["a"]["x"], p["a"]["y"], p["b"]["x"], p["b"]["y"])))
 
 
+def hausdorff(a: Column, b: Column) -> Column:
+    """Largest distance of a vertex of either polyline to the other one."""
+    there, back = F.transform(a, lambda p: point_line(p["x"], p["y"], b)), F.transform(b, lambda p: point_line(p["x"], p["y"], a))
+    return F.greatest(F.array_max(there), F.array_max(back))
+
+
 def turn(dx1: Column, dy1: Column, dx2: Column, dy2: Column) -> Column:
     """Directed angle between two vectors, 0 to 180 degrees; 180 if one is 0."""
     whole = F.hypot(dx1, dy1) * F.hypot(dx2, dy2)

@@ -23,6 +23,13 @@ def ordered_lookup(lists: DataFrame, keys: list[str], ids: str, table: DataFrame
     return flat.join(table.withColumn("found", F.lit(True)), id_col, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def by_id(rows: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
+    """The rows that are asked for; an id without a row is an error when the result is read."""
+    found = wanted.select(id_col).distinct().join(rows.withColumn("_found", F.lit(True)), id_col, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no row has {id_col} "), F.col(id_col).cast("string")))
+    return found.where(F.when(F.col("_found"), F.lit(True)).otherwise(missing.cast("boolean"))).drop("_found")
+
+
 def members(rows: DataFrame, owner: str, member: str, order: list[str], into: str) -> DataFrame:
     """One row an owner with its members in order."""
     ordered = F.sort_array(F.collect_list(F.struct(*order, member)))

@@ -14,7 +14,7 @@ from wayfold.plans.tables import POINTS, SEGMENTS, points, samples_sql, segments
 
 STEP = 25.0
 RADIUS = 10.0
-MEDIAN, P90 = 30.0, 75.0
+MEDIAN, P90 = 13.0, 45.0
 
 
 def traj_length(spark: SparkSession, sf_dir: str) -> DataFrame:
