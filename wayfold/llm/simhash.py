@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, per_row, rows_and_text, ship, unused
+from wayfold.llm.common import cut, per_row, release, rows_and_text, ship, unused
 from wayfold.operators.bitmap import KeyFilter
 from wayfold.operators.components import connected_components
 
@@ -275,25 +275,42 @@ def across(members: DataFrame, least: float) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
     dealt = dealt.select("list", "sig", "class", "n", "parity", "block", F.explode(others).alias("pair"))
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = rows["x"].iloc[0], rows["y"].iloc[0]
-        sig, of, n, block = (rows[c].to_numpy() for c in ("sig", "class", "n", "block"))
-        odd = np.frombuffer(b"".join(rows["parity"]), np.uint64).reshape(len(rows), -1)
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        out = []
-        for k in range(0, len(left), 64):
-            i = left[k : k + 64]
-            # both >= t (n - both) and apart = n - 2 both give apart <= n (1 - t) / (1 + t)
-            most = (n[i, None] + n[right]) * ((1 - least) / (1 + least)) + 1e-6
-            fits = (of[i, None] != of[right]) & (np.abs(n[i, None] - n[right]) <= most) & (sig[i, None] < sig[right] if x == y else True)
-            p, q = np.nonzero(fits)
-            near = np.bitwise_count(odd[i[p]] ^ odd[right[q]]).sum(1) <= most[p, q]
-            out.append(np.stack([sig[i[p[near]]], sig[right[q[near]]]], 1))
-        found = np.concatenate([np.zeros((0, 2), np.int64), *out])
-        return pd.DataFrame({"a": found.min(1), "b": found.max(1)})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None  # rows of a pair of blocks whose end was not seen yet
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([kept, rows]) if kept is not None else rows
+            names = np.stack([rows.column(c).to_numpy() for c in ("list", "x", "y")], 1)
+            edges = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+            done = int(edges[-1]) if len(edges) else 0
+            yield pairs(rows.slice(0, done), [0, *edges.tolist()])
+            kept = rows.slice(done)
+        if kept is not None:
+            yield pairs(kept, [0, len(kept)])
+        release()
+
+    def pairs(rows: pa.Table, edges: list[int]) -> pa.RecordBatch:
+        x, y, block, sig, of, n = (rows.column(c).to_numpy() for c in ("x", "y", "block", "sig", "class", "n"))
+        odd = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(rows), PARITY // 64)
+        out = [np.zeros((0, 2), np.int64)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            left, right = lo + np.flatnonzero(block[lo:hi] == x[lo]), lo + np.flatnonzero(block[lo:hi] == y[lo])
+            for k in range(0, len(left), 64):
+                i = left[k : k + 64]
+                # both >= t (n - both) and apart = n - 2 both give apart <= n (1 - t) / (1 + t)
+                most = (n[i, None] + n[right]) * ((1 - least) / (1 + least)) + 1e-6
+                fits = (of[i, None] != of[right]) & (np.abs(n[i, None] - n[right]) <= most)
+                if x[lo] == y[lo]:
+                    fits &= sig[i, None] < sig[right]
+                p, q = np.nonzero(fits)
+                near = np.bitwise_count(odd[i[p]] ^ odd[right[q]]).sum(1) <= most[p, q]
+                out.append(np.stack([sig[i[p[near]]], sig[right[q[near]]]], 1))
+        found = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(found.min(1)), pa.array(found.max(1))], ["a", "b"])
 
     ship(members.sparkSession)
-    return dealt.select("list", "pair.x", "pair.y", "sig", "class", "n", "parity", "block").groupBy("list", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    dealt = dealt.select("list", "pair.x", "pair.y", "sig", "class", "n", "parity", "block").repartition("list", "x", "y").sortWithinPartitions("list", "x", "y")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
