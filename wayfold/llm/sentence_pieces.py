@@ -47,7 +47,7 @@ UNKNOWN = 10
 UNIT = 1_000_000
 BLANK = "▁"
 #: Chunks that a worker holds at once.
-CACHE = 200_000
+CACHE = 400_000
 #: Added to ranks of a merge model before the logarithm.
 ZIPF = 100
 _NAMES = ["ids", "score", "nbest", "n_ids", "ids_hash", "round_trip"]
