@@ -59,7 +59,7 @@ def traj_residual_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = segments(spark, sf_dir)
     first = segs.agg(F.min("user_id").alias("reference"))
     ref = cut(segs.join(first, F.col("user_id") == F.col("reference"), "left_semi").select("x1", "y1", "x2", "y2"))
-    s = polyline.samples(segs, "user_id", STEP).select("user_id", "sample", "x", "y")
+    s = cut(polyline.samples(segs, "user_id", STEP).select("user_id", "sample", "x", "y"))  # read by every round below
     d = g.point_segment(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
     shortlist = grid.grid_segment_join(s, ref, RADIUS, d).select("user_id").distinct()
     every = grid.nearest_distance(s.join(shortlist, "user_id", "left_semi"), ref, ["user_id", "sample"], 4 * RADIUS, "d").groupBy("user_id", "sample").agg(F.min("d").alias("d"))
