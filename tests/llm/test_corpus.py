@@ -208,6 +208,16 @@ def test_alignment_equals_the_table(item, text):
         assert plain_alignment(item, text[a:b]) == pytest.approx(score)
 
 
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=8), st.lists(st.integers(-1, 5), max_size=60), st.integers(1, 20))
+@settings(max_examples=200, deadline=None)
+def test_alignment_by_windows_equals_alignment_of_the_whole(item, text, window):
+    import numpy as np
+
+    score, a, b = decontaminate.align_windows(np.array(item), np.array(text, np.int64), window)
+    assert score == decontaminate.align(np.array(item), np.array(text, np.int64))[0]
+    assert not score or decontaminate.align(np.array(item), np.array(text[a:b], np.int64))[0] == score
+
+
 def test_leaks_find_exact_and_edited_copies_only(spark, documents):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 7))) for _ in range(400)]

@@ -13,8 +13,9 @@ Documents are read twice and never shuffled: the items are the stated query set,
 ``BLOCK_WORDS`` words at most, one pass over the documents a block.  Counts of seeds are summed on the executors; what comes
 back is a number a run of the block.
 
-Items under ``GRAM`` words match nothing; nor do null and empty texts.  Items with equal texts are reported each; repeated
-rows of documents give repeated rows.
+Items under ``GRAM`` words match nothing, as their words alone tell no copy from common speech; nor do null and empty texts.  Items with
+a null id are left out, as a pair could not name them.  Items with equal texts are reported each; repeated rows of documents give repeated rows.
+A stretch of any length is aligned whole, in overlapping windows of ``WINDOW`` words and three times the item's, so memory doesn't follow the text.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ COMPANY = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 BLOCK_WORDS = 1_000_000
+WINDOW = 1 << 16
 SCHEMA = "doc_id long, item_id long, score double, start_word long, end_word long"
 _BLANK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -130,7 +132,7 @@ class Block:
                 stretch = slice(begin + first, begin + k)
                 if rare[stretch].any() or len(np.unique(offset[stretch])) >= COMPANY:
                     lo, hi = max(0, starts[first] - slack), starts[k - 1] + m + slack
-                    score, a, b = align(words, ids[lo:hi])
+                    score, a, b = align_windows(words, ids[lo:hi])
                     best = max(best, (score, a + lo, b + lo), key=lambda x: x[0])
                 first = k
             if best[0] >= min_score:
@@ -183,6 +185,20 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), *span
 
 
+def align_windows(item: np.ndarray, text: np.ndarray, window: int = WINDOW) -> tuple[float, int, int]:
+    """The same over a text of any length; of equal alignments one of the first window that has any.
+
+    An alignment has at most the item's words matched, at ``MATCH`` each, and every further word of the text costs a ``GAP``: it is under
+    1 + MATCH / -GAP items long, so one that starts in a window ends within that overlap.
+    """
+    overlap = len(item) * (1 + MATCH // -GAP)
+    best = (0.0, 0, 0)
+    for lo in range(0, max(len(text), 1), window):
+        score, a, b = align(item, text[lo : lo + window + overlap])
+        best = max(best, (score, a + lo, b + lo), key=lambda x: x[0])
+    return best
+
+
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[Block]:
     rows: list[tuple[int, list[bytes]]] = []
     size = 0
