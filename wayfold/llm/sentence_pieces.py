@@ -48,6 +48,8 @@ UNIT = 1_000_000
 BLANK = "▁"
 #: Chunks that a worker holds at once.
 CACHE = 400_000
+#: Bits of a key that tell at once that most strings are no piece.
+LEAD = 18
 #: Added to ranks of a merge model before the logarithm.
 ZIPF = 100
 _NAMES = ["ids", "score", "nbest", "n_ids", "ids_hash", "round_trip"]
@@ -85,12 +87,14 @@ class Pieces:
         self.ascii_text = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else "" if i in self.silent else t for i, t in enumerate(self.text)]
         self.high_byte = np.array([self.byte_of.get(i, 0) >= 128 for i in range(size)])
         self.longest = max(map(len, self.score), default=1)
-        self.keys: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.keys: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # of each length: keys in order, scores, ids, and which leading bits keys have
         for n in range(1, self.longest + 1):
             some = [x for x in self.score if len(x) == n]
             key = _keys(np.array([[ord(c) for c in x] for x in some], np.uint64).reshape(-1, n))
             order = np.argsort(key)
-            self.keys.append((key[order], np.array([self.score[x][0] for x in some], np.int64)[order], np.array([self.score[x][1] for x in some], np.int64)[order]))
+            lead = np.zeros(1 << LEAD, bool)
+            lead[key >> np.uint64(64 - LEAD)] = True
+            self.keys.append((key[order], np.array([self.score[x][0] for x in some], np.int64)[order], np.array([self.score[x][1] for x in some], np.int64)[order], lead))
         self.clear()
 
     def clear(self) -> None:
@@ -195,7 +199,8 @@ class Pieces:
         """As solve(), for many chunks at once, a column of all lattices at a time."""
         groups: dict[int, list[str]] = {}
         for c in chunks:
-            groups.setdefault(next((n for n in (8, 16, 32) if len(c) <= n), 0), []).append(c)
+            n = len(c)
+            groups.setdefault(8 if n <= 8 else 16 if n <= 16 else 32 if n <= 32 else 0, []).append(c)
         for width, some in groups.items():
             if not width:
                 for c in some:
@@ -213,29 +218,33 @@ class Pieces:
         back, via = np.zeros((width + 1, n), np.int8), np.full((width + 1, n), -1, np.int32)
         best[0] = 0
         key = np.zeros((width, n), np.uint64)
-        edges: list[list] = [[] for _ in range(width + 1)]  # of each end: length, score or low, id
+        edges: list[list] = [[] for _ in range(width + 1)]  # of each end: length, chunks, scores, ids
+        alone = np.zeros((width, n), bool)
         for length in range(1, min(self.longest, width) + 1):
             last = width - length + 1
             key = _next(key[:last], chars[length - 1 :])
-            keys, scores, ids = self.keys[length - 1]
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[at] == key
-                for i in range(last):
-                    if hit[i].any():
-                        edges[i + length].append((length, np.where(hit[i], scores[at[i]], low), ids[at[i]]))
-                if length == 1:
-                    alone = hit
-            elif length == 1:
-                alone = np.zeros((width, n), bool)
+            keys, scores, ids, lead = self.keys[length - 1]
+            if not len(keys):
+                continue
+            i, chunk = np.nonzero(lead[key >> np.uint64(64 - LEAD)])
+            wanted = key[i, chunk]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = keys[at] == wanted
+            i, chunk, at = i[hit], chunk[hit], at[hit]
+            if length == 1:
+                alone[i, chunk] = True
+            ends = np.searchsorted(i, np.arange(last + 1))
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                some = slice(ends[k], ends[k + 1])
+                edges[k + length].append((length, chunk[some], scores[at[some]], ids[at[some]]))
         for j in range(1, width + 1):
-            for length, score, ids in [*reversed(edges[j]), (1, np.where(alone[j - 1], low, self.lowest), np.full(n, -1))]:  # longest first, so that ties stay with it
-                value = np.where(score == low, low, best[j - length] + score)
-                more = value > best[j]
-                second[j] = np.where(more, best[j], np.maximum(second[j], value))
-                best[j] = np.where(more, value, best[j])
-                back[j] = np.where(more, length, back[j])
-                via[j] = np.where(more, ids, via[j])
+            other = np.flatnonzero(~alone[j - 1] & (size >= j))
+            for length, chunk, score, ids in [*reversed(edges[j]), (1, other, np.full(len(other), self.lowest), np.full(len(other), -1))]:  # longest first, so that ties stay with it
+                value, had = best[j - length, chunk] + score, best[j, chunk]
+                more = value > had
+                second[j, chunk] = np.where(more, had, np.maximum(second[j, chunk], value))
+                better = chunk[more]
+                best[j, better], back[j, better], via[j, better] = value[more], length, ids[more]
         rows, node, loss = np.arange(n), size.copy(), np.full(n, _FAR)
         found = np.full((width, n), -2, np.int32)
         for step in range(width):
@@ -249,9 +258,8 @@ class Pieces:
             node = np.where(live, start, node)
         flat = found[::-1].T
         total = best[size, rows]
-        for k in np.flatnonzero((flat < -2).any(1)).tolist():  # characters as bytes
-            self.at[chunks[k]] = -1
-        plain = [k for k in range(n) if self.at.pop(chunks[k], 0) != -1]
+        odd = (flat < -2).any(1)  # characters as bytes
+        plain = np.flatnonzero(~odd).tolist()
         lengths = (flat >= 0).sum(1)
         base = len(self.at)
         while base + n > len(self.best):
@@ -266,9 +274,8 @@ class Pieces:
         self.first[to] = self.used + np.cumsum(lengths[plain]) - lengths[plain]
         self.used += len(ids)
         self.at.update(zip([chunks[k] for k in plain], range(base, base + len(plain)), strict=True))
-        if len(plain) < n:
-            for k in sorted(set(range(n)) - set(plain)):
-                self.solve(chunks[k])
+        for k in np.flatnonzero(odd).tolist():
+            self.solve(chunks[k])
 
     def split(self, text: str) -> list[str]:
         """The chunks of a text, in order."""
