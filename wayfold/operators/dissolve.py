@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.session import ship
+
 
 def boundary(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
     """key, ax, ay, bx, by: the directed edges of each key's polygons that no other polygon of the key has backwards.
@@ -56,13 +58,19 @@ def link_rings(edges: list[tuple[tuple[float, float], tuple[float, float]]]) ->
     return rings
 
 
-def dissolve(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
-    """key, rings, n_rings, area: the union of each key's polygons; outer rings keep their direction, holes run against it."""
-    kind = dict(polygons.dtypes)[key]
+def linked(edges: DataFrame, key: str) -> DataFrame:
+    """key, rings, n_rings, area: each key's directed edges (ax, ay, bx, by) linked to rings."""
+    kind = dict(edges.dtypes)[key]
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         found = link_rings([((a, b), (c, d)) for a, b, c, d in zip(rows["ax"], rows["ay"], rows["bx"], rows["by"], strict=True)])
         area = sum(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, r[1:], strict=False)) / 2 for r in found)
         return pd.DataFrame({key: [rows[key].iloc[0]], "rings": [[[{"x": x, "y": y} for x, y in r] for r in found]], "n_rings": [len(found)], "area": [abs(area)]})
 
-    return boundary(polygons, key, rings).groupBy(key).applyInPandas(link, f"{key} {kind}, rings array<array<struct<x: double, y: double>>>, n_rings long, area double")
+    ship(edges.sparkSession)
+    return edges.groupBy(key).applyInPandas(link, f"{key} {kind}, rings array<array<struct<x: double, y: double>>>, n_rings long, area double")
+
+
+def dissolve(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
+    """key, rings, n_rings, area: the union of each key's polygons; outer rings keep their direction, holes run against it."""
+    return linked(boundary(polygons, key, rings), key)

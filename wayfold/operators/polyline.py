@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,53 @@ def samples(segs: DataFrame, key: str, step: float) -> DataFrame:
     t = F.when(size > 0, (F.col("at") - F.col("from")) / F.when(size > 0, size).otherwise(1.0)).otherwise(1.0)
     whole = F.when(size > 0, size).otherwise(1.0)
     return flat.unionByName(last).select(key, "sample", "at", (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"), ((F.col("x2") - F.col("x1")) / whole).alias("tx"), ((F.col("y2") - F.col("y1")) / whole).alias("ty"))
+
+
+def line_segments(lines: DataFrame, key: str, line: str = "line", part: str | None = None) -> DataFrame:
+    """As ``segments`` for rows with an array of (x, y) vertices; with ``part`` the running length goes on over a key's parts in their order."""
+    parts = [part] if part else []
+    flat = lines.select(key, *parts, F.posexplode(line).alias("_i", "_p")).select(key, *parts, "_i", F.col("_p.x").alias("x1"), F.col("_p.y").alias("y1"))
+    w = Window.partitionBy(key, *parts).orderBy("_i")
+    ends = flat.withColumn("x2", F.lead("x1").over(w)).withColumn("y2", F.lead("y1").over(w)).where("x2 is not null")
+    order = Window.partitionBy(key).orderBy(*parts, "_i")
+    size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    return ends.withColumn("seg", F.row_number().over(order) - 1).withColumn("to", F.sum(size).over(run)).withColumn("from", F.col("to") - size).drop("_i")
+
+
+def points_at(places: DataFrame, segs: DataFrame, key: str, at: str, ids: list[str], x: str = "px", y: str = "py") -> DataFrame:
+    """The places (key, ids, ``at``) with the point at that running length; outside the line it is the nearer end.
+
+    The join is on the key and by range, so a place meets only the segments of its line; where two segments meet the first one answers.
+    """
+    last = F.col("seg") == F.max("seg").over(Window.partitionBy(key))
+    edged = segs.select(key, "seg", "x1", "y1", "x2", "y2", "from", "to", last.alias("_last"))
+    inside = ((F.col(at) >= F.col("from")) | (F.col("seg") == 0)) & ((F.col(at) <= F.col("to")) | F.col("_last"))
+    size = F.col("to") - F.col("from")
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(at) - F.col("from")) / F.when(size > 0, size).otherwise(1.0)))).otherwise(0.0)
+    spot = F.struct((F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
+    found = places.join(edged, key).where(inside).groupBy(*dict.fromkeys([key, *ids])).agg(F.min_by(F.struct(spot.alias("p"), F.col(at).alias("at")), "seg").alias("_s"))
+    return found.select(*dict.fromkeys([key, *ids]), F.col("_s.at").alias(at), F.col("_s.p.x").alias(x), F.col("_s.p.y").alias(y))
+
+
+def substrings(segs: DataFrame, cuts: DataFrame, key: str, ids: list[str], part: str | None = None) -> DataFrame:
+    """key, ids, line (array of x, y), length: the geometry between two running lengths ``lo`` and ``hi`` of each cut, with the vertices between.
+
+    Bounds are held to the line; a cut without length gives no row.  With ``part`` a cut that goes over several parts gives a row a part.
+    """
+    parts = [part] if part else []
+    both = cuts.select(key, *ids, F.least("lo", "hi").alias("_lo"), F.greatest("lo", "hi").alias("_hi")).join(segs, key).where((F.col("to") > F.col("_lo")) & (F.col("from") < F.col("_hi")) & (F.col("to") > F.col("from")))
+    size = F.col("to") - F.col("from")
+    point = lambda bound: F.struct((F.col("x1") + (bound - F.col("from")) / size * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + (bound - F.col("from")) / size * (F.col("y2") - F.col("y1"))).alias("y"))
+    start = F.when(F.col("_lo") > F.col("from"), point(F.col("_lo"))).otherwise(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))
+    end = F.when(F.col("_hi") < F.col("to"), point(F.col("_hi"))).otherwise(F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    clipped = both.select(key, *ids, *parts, "seg", start.alias("a"), end.alias("b"), (F.least("_hi", "to") - F.greatest("_lo", "from")).alias("size"))
+    rows = F.sort_array(F.collect_list(F.struct("seg", "a", "b")))
+    return clipped.groupBy(key, *ids, *parts).agg(rows.alias("_r"), F.sum("size").alias("length")).select(key, *ids, *parts, F.concat(F.array(F.element_at("_r", 1)["a"]), F.transform("_r", lambda r: r["b"])).alias("line"), "length")
+
+
+def prefixes(segs: DataFrame, key: str, progress: Column | float, part: str | None = None) -> DataFrame:
+    """key, line, length: the first share of each line (of all its parts together, a row a part that is reached); all of it from 1 on, nothing at 0."""
+    share = progress if isinstance(progress, Column) else F.lit(float(progress))
+    cuts = segs.groupBy(key).agg(F.max("to").alias("_n")).select(key, F.lit(0.0).alias("lo"), F.when(share >= 1, F.col("_n")).otherwise(F.col("_n") * share).alias("hi"))
+    return substrings(segs, cuts, key, [], part)
