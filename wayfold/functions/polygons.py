@@ -53,7 +53,7 @@ def clip_ring(ring: Column, w: float | None = None, s: float | None = None, e: f
 
 def clip_polygon(rings: Column, w: float | None = None, s: float | None = None, e: float | None = None, n: float | None = None) -> Column:
     """The rings of a polygon inside a box; holes that lie outside go, and without an outer ring the polygon is null."""
-    return let(F.transform(rings, lambda r: clip_ring(r, w, s, e, n)), lambda cut: F.when(F.size(F.element_at(cut, 1)) > 0, F.filter(cut, lambda r: F.size(r) > 0)))
+    return let(F.transform(rings, lambda r: clip_ring(r, w, s, e, n)), lambda cut: F.when(F.size(F.get(cut, F.lit(0))) > 0, F.filter(cut, lambda r: F.size(r) > 0)))
 
 
 def interior_point(rings: Column) -> Column:
@@ -71,9 +71,9 @@ def interior_point(rings: Column) -> Column:
         pairs = let(across, lambda c: F.zip_with(F.slice(c, 1, many(c)), F.slice(c, 2, many(c)), lambda a, b: F.struct((b - a).alias("width"), ((a + b) / 2).alias("x"), level.alias("y"))))
         return F.filter(pairs, inside)
 
-    outer = F.element_at(rings, 1)
+    outer = F.get(rings, F.lit(0))
     y = F.transform(outer, lambda p: p["y"])
     levels = let(F.struct(F.array_min(y).alias("low"), F.array_max(y).alias("high")), lambda b: F.array(*[b["low"] + (b["high"] - b["low"]) * h for h in HEIGHTS]))
     best = F.aggregate(F.flatten(F.transform(levels, spans)), none, lambda have, c: F.when(have.isNull() | (c["width"] > have["width"]), c).otherwise(have))
-    widest = let(best, lambda b: F.when(b.isNotNull(), g.vertex(b["x"], b["y"])).otherwise(F.element_at(outer, 1)))
+    widest = let(best, lambda b: F.when(b.isNotNull(), g.vertex(b["x"], b["y"])).otherwise(F.get(outer, F.lit(0))))
     return F.when(F.size(outer) > 0, let(g.mean_vertex(outer), lambda m: F.when(inside(m), m).otherwise(widest)))

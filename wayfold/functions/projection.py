@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wayfold.model import ZONE_IX
+from wayfold.session import shipping
 
 _POINT = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
 
@@ -56,6 +57,7 @@ class TransverseMercator:
         return np.degrees(self.lon0 + np.arctan2(np.sinh(eta), np.cos(xi))), np.degrees(lat)
 
 
+@shipping
 def to_metres(lon: Column, lat: Column, zone: dict[str, float] = ZONE_IX) -> Column:
     """Degrees to a struct of metres in a zone."""
 
@@ -67,6 +69,7 @@ def to_metres(lon: Column, lat: Column, zone: dict[str, float] = ZONE_IX) -> Col
     return run(lon.cast("double"), lat.cast("double"))
 
 
+@shipping
 def to_degrees(x: Column, y: Column, zone: dict[str, float] = ZONE_IX) -> Column:
     """Metres in a zone to a struct of degrees."""
 

@@ -10,16 +10,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from wayfold.session import shipping
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KANJI_DIGITS = "〇一二三四五六七八九"
 
 
+@shipping
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition; the JVM functions have none."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@shipping
 @F.pandas_udf(StringType())
 def search_key(text: pd.Series) -> pd.Series:
     """The form in which names are searched: NFKC, lower case, no blanks or middle dots, block numbers in digits, road prefixes and suffixes gone."""

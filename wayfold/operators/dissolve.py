@@ -25,8 +25,8 @@ def boundary(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
     return net.select(key, start.alias("s"), end.alias("t")).select(key, F.col("s.x").alias("ax"), F.col("s.y").alias("ay"), F.col("t.x").alias("bx"), F.col("t.y").alias("by"))
 
 
-def link_rings(edges: list[tuple[tuple[float, float], tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Closed rings from directed edges; where several leave a vertex, the one that turns most to the right of the way in is taken, so touching rings stay apart."""
+def link_rings(edges: list[tuple[tuple[float, float], tuple[float, float]]], left: bool = False) -> list[list[tuple[float, float]]]:
+    """Closed rings from directed edges; where several leave a vertex, the one that turns most to the right of the way in is taken, so touching rings stay apart; with ``left``, for rings whose inside is on the left, most to the left."""
     import math
 
     out: dict = {}
@@ -42,7 +42,7 @@ def link_rings(edges: list[tuple[tuple[float, float], tuple[float, float]]]) ->
             nexts = out[here]
             if len(nexts) > 1 and before is not None:
                 back = math.atan2(before[1] - here[1], before[0] - here[0])
-                nexts.sort(key=lambda p: (math.atan2(p[1] - here[1], p[0] - here[0]) - back) % (2 * math.pi) or 2 * math.pi)
+                nexts.sort(key=lambda p: (-1 if left else 1) * (math.atan2(p[1] - here[1], p[0] - here[0]) - back) % (2 * math.pi) or 2 * math.pi)
             following = nexts.pop(0)
             if not nexts:
                 del out[here]
@@ -58,12 +58,12 @@ def link_rings(edges: list[tuple[tuple[float, float], tuple[float, float]]]) ->
     return rings
 
 
-def linked(edges: DataFrame, key: str) -> DataFrame:
+def linked(edges: DataFrame, key: str, left: bool = False) -> DataFrame:
     """key, rings, n_rings, area: each key's directed edges (ax, ay, bx, by) linked to rings."""
     kind = dict(edges.dtypes)[key]
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        found = link_rings([((a, b), (c, d)) for a, b, c, d in zip(rows["ax"], rows["ay"], rows["bx"], rows["by"], strict=True)])
+        found = link_rings([((a, b), (c, d)) for a, b, c, d in zip(rows["ax"], rows["ay"], rows["bx"], rows["by"], strict=True)], left)
         area = sum(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, r[1:], strict=False)) / 2 for r in found)
         return pd.DataFrame({key: [rows[key].iloc[0]], "rings": [[[{"x": x, "y": y} for x, y in r] for r in found]], "n_rings": [len(found)], "area": [abs(area)]})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as g
@@ -65,21 +65,57 @@ def segments_within(ones: DataFrame, others: DataFrame, radius: float, keys: lis
     return here.join(there, ["_cx", "_cy"]).withColumn("distance", far).where(F.col("distance") <= radius).groupBy(*keys, *okeys).agg(F.min("distance").alias("distance"))
 
 
+#: Sides of a cell's children in the tree of cells, as a power of two.
+_STEP = 2
+
+
+def _cells_of(segments: DataFrame, size: float) -> list[DataFrame]:
+    """Cells that segments pass, at every level of a tree: ``cx``, ``cy`` at a level are those of its children shifted.  The last level has four cells at most."""
+    levels = [cut(along(segments.select("x1", "y1", "x2", "y2"), 0.0, size).select(F.col("_cx").alias("cx"), F.col("_cy").alias("cy")).distinct())]
+    w, s, e, n = levels[0].agg(F.min("cx"), F.min("cy"), F.max("cx"), F.max("cy")).first()
+    while max(e - w, n - s) > 1:
+        w, s, e, n = (v >> _STEP for v in (w, s, e, n))
+        levels.append(levels[-1].select(F.shiftright("cx", _STEP).alias("cx"), F.shiftright("cy", _STEP).alias("cy")).distinct())
+    return levels
+
+
+def _far(points: DataFrame, segments: DataFrame, keys: list[str], size: float, into: str) -> DataFrame:
+    """keys and the distance to the nearest segment of points that may lie far from any, by descent through a tree of occupied cells.
+
+    At each level a point keeps the cells that may hold its nearest segment: those whose near side is not beyond the far side of another one.  So it
+    meets a handful of cells a level and the segments of a few of the smallest, however far away they are.
+    """
+    levels = _cells_of(segments, size)
+    top = [(r.cx, r.cy) for r in levels[-1].collect()]  # four at most
+    now = points.select(*keys, "x", "y", F.explode(F.array(*[F.struct(F.lit(cx).cast("long").alias("cx"), F.lit(cy).cast("long").alias("cy")) for cx, cy in top])).alias("_c")).select(*keys, "x", "y", "_c.cx", "_c.cy")
+    mine = Window.partitionBy(*keys)
+    for level in reversed(range(len(levels) - 1)):
+        side = size * 2.0 ** (_STEP * level)
+        children = levels[level].select(F.col("cx").alias("_kx"), F.col("cy").alias("_ky"), F.shiftright("cx", _STEP).alias("cx"), F.shiftright("cy", _STEP).alias("cy"))
+        gap = lambda v, k, s=side: F.greatest(F.lit(0.0), F.col(k) * s - F.col(v), F.col(v) - (F.col(k) + 1) * s)
+        reach = lambda v, k, s=side: F.greatest(F.abs(F.col(v) - F.col(k) * s), F.abs((F.col(k) + 1) * s - F.col(v)))
+        wide = now.join(children, ["cx", "cy"]).withColumn("_near", F.hypot(gap("x", "_kx"), gap("y", "_ky"))).withColumn("_bound", F.min(F.hypot(reach("x", "_kx"), reach("y", "_ky"))).over(mine))
+        now = cut(wide.where(F.col("_near") <= F.col("_bound") * (1 + 1e-9)).select(*keys, "x", "y", F.col("_kx").alias("cx"), F.col("_ky").alias("cy")))
+    passed = along(segments.select("x1", "y1", "x2", "y2"), 0.0, size).withColumnsRenamed({"_cx": "cx", "_cy": "cy"})
+    d = g.point_segment(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
+    return now.join(passed, ["cx", "cy"]).groupBy(*keys).agg(F.min(d).alias(into))
+
+
 def nearest_distance(points: DataFrame, segments: DataFrame, keys: list[str], radius: float, into: str = "distance") -> DataFrame:
-    """keys and the distance to the nearest segment, of every point (x, y), however far; none without segments.
+    """keys and the distance to the nearest segment, of every point (x, y), however far; no rows without segments.
 
-    Points without a segment within the radius are asked again with four times the radius, so each is compared with segments some
-    times as far as its nearest at most.
+    Points with a segment within the radius are answered by a join on cells; the others by descent through a tree of the cells that segments
+    pass.  A point with a null or infinite coordinate, or none at all, has a null distance; segments with such a coordinate are left out.
     """
     d = g.point_segment(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
-    parts = []
-    left = points.select(*keys, "x", "y")
-    if segments.isEmpty():
-        return left.select(*keys, F.lit(None).cast("double").alias(into)).limit(0)
-    while True:
-        found = cut(left.join(grid_segment_join(left, segments, radius, d).groupBy(*keys).agg(F.min("distance").alias(into)), keys, "left"))
-        parts.append(found.where(F.col(into).isNotNull()).select(*keys, into))
-        left = found.where(F.col(into).isNull()).select(*keys, "x", "y")
-        if left.isEmpty():
-            return reduce(DataFrame.union, parts)
-        radius *= 4
+    finite = lambda *names: reduce(Column.__and__, [F.coalesce(F.abs(F.col(c)) < 1e300, F.lit(False)) for c in names])
+    sound = segments.where(finite("x1", "y1", "x2", "y2"))
+    every = points.select(*keys, "x", "y")
+    nothing = F.lit(None).cast("double").alias(into)
+    if sound.isEmpty():
+        return every.select(*keys, nothing).limit(0)
+    placed = every.where(finite("x", "y"))
+    near = cut(placed.join(grid_segment_join(placed, sound, radius, d).groupBy(*keys).agg(F.min("distance").alias(into)), keys, "left"))
+    left = near.where(F.col(into).isNull()).select(*keys, "x", "y")
+    found = near.where(F.col(into).isNotNull()).select(*keys, into).unionByName(every.where(~finite("x", "y")).select(*keys, nothing))
+    return found if left.isEmpty() else found.unionByName(_far(left, sound, keys, radius, into))

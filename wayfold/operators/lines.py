@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators.components import connected_components
+from wayfold.model import LINE
+from wayfold.operators.components import connected_components, cut
+from wayfold.session import ship
 
 
 def explode_parts(rows: DataFrame, id_col: str, parts: str) -> DataFrame:
@@ -15,12 +17,16 @@ def explode_parts(rows: DataFrame, id_col: str, parts: str) -> DataFrame:
     return flat.withColumn("part_id", F.concat_ws(":", F.col(id_col).cast("string"), F.col("part").cast("string")))
 
 
-def chain(lines: dict[object, list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Lines joined where exactly two ends meet; a closed ring starts at its smallest line.  Vertices are kept, the joint once."""
+def chain(lines: dict[object, list[tuple[float, float]]], joints: dict[object, tuple[bool, bool]] | None = None) -> list[list[tuple[float, float]]]:
+    """Lines joined where exactly two ends meet; a closed ring starts at its smallest line.  Vertices are kept, the joint once.
+
+    joints: for each line whether its first and last end may be joined, where more lines meet than the ones given.
+    """
     at: dict[tuple[float, float], list] = {}
     for k in sorted(lines):
-        at.setdefault(lines[k][0], []).append((k, 0))
-        at.setdefault(lines[k][-1], []).append((k, 1))
+        for end in (0, 1):
+            if joints is None or joints[k][end]:
+                at.setdefault(lines[k][-end], []).append((k, end))
     partner = {}
     for ends in at.values():
         if len(ends) == 2 and ends[0][0] != ends[1][0]:
@@ -43,15 +49,25 @@ def chain(lines: dict[object, list[tuple[float, float]]]) -> list[list[tuple[flo
 
 
 def merge_lines(lines: DataFrame, key: str, id_col: str = "id", line: str = "line") -> DataFrame:
-    """key, n_lines, line (array of x, y): the lines of each key merged.  One group holds the lines that reach each other, no more."""
-    ends = lines.select(key, id_col, F.explode(F.array(F.element_at(line, 1), F.element_at(line, -1))).alias("p")).select(key, id_col, "p.x", "p.y")
-    first = ends.groupBy(key, "x", "y").agg(F.min(id_col).alias("first"))
-    edges = ends.join(first, [key, "x", "y"]).select(F.struct(key, id_col).alias("a"), F.struct(F.col(key), F.col("first").alias(id_col)).alias("b"))
-    found = connected_components(edges).select(F.col(f"node.{key}").alias(key), F.col(f"node.{id_col}").alias(id_col), F.col("component").alias("group"))
+    """key, line (array of x, y): the lines of each key merged where two ends alone meet; lines of fewer than two vertices stay as they are.
+
+    A group of the last step is one merged line: junctions of three ends or more, and ends that no other meets, connect nothing.
+    """
+    both = F.array(F.struct(F.lit(0).alias("end"), F.get(line, F.lit(0)).alias("p")), F.struct(F.lit(1).alias("end"), F.get(line, F.size(line) - 1).alias("p")))
+    ends = lines.where(F.size(line) > 1).select(key, id_col, F.explode(both).alias("e")).select(key, id_col, "e.end", F.col("e.p.x").alias("x"), F.col("e.p.y").alias("y"))
+    met = cut(ends.groupBy(key, "x", "y").agg(F.count("*").alias("n"), F.min(F.struct(id_col, "end")).alias("a"), F.max(F.struct(id_col, "end")).alias("b")).where((F.col("n") == 2) & (F.col(f"a.{id_col}") != F.col(f"b.{id_col}"))).select(key, "a", "b"))
+    pair = lambda side: F.struct(F.col(key), F.col(f"{side}.{id_col}").alias(id_col))
+    found = connected_components(met.select(pair("a").alias("a"), pair("b").alias("b"))).select(F.col(f"node.{key}").alias(key), F.col(f"node.{id_col}").alias(id_col), F.col(f"component.{id_col}").alias("_group"))
+    joined = met.select(key, F.explode(F.array("a", "b")).alias("e")).select(key, F.col(f"e.{id_col}").alias(id_col), "e.end")
+    marks = joined.groupBy(key, id_col).agg(F.max(F.col("end") == 0).alias("_first"), F.max(F.col("end") == 1).alias("_last"))
     kinds = dict(lines.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        merged = chain({r[id_col]: [(p["x"], p["y"]) for p in r[line]] for r in rows.to_dict("records")})
+        records = rows.to_dict("records")
+        merged = chain({r[id_col]: [(p["x"], p["y"]) for p in r[line]] for r in records}, {r[id_col]: (bool(r["_first"]), bool(r["_last"])) for r in records})
         return pd.DataFrame({key: [rows[key].iloc[0]] * len(merged), "line": [[{"x": x, "y": y} for x, y in m] for m in merged]})
 
-    return lines.select(key, id_col, line).join(found, [key, id_col]).groupBy("group").applyInPandas(run, f"{key} {kinds[key]}, line array<struct<x: double, y: double>>")
+    ship(lines.sparkSession)
+    linked = lines.select(key, id_col, line).join(marks, [key, id_col]).join(found, [key, id_col]).groupBy(key, "_group").applyInPandas(run, f"{key} {kinds[key]}, line {LINE}")
+    alone = lines.join(marks, [key, id_col], "left_anti").select(key, F.col(line).cast(LINE).alias("line"))
+    return linked.unionByName(alone)

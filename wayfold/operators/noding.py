@@ -83,7 +83,7 @@ def covered(points: DataFrame, polygons: DataFrame, key: str, rings: str, ids: l
 
     A polygon goes to the few cells of its own size that its box meets, a point to its cell of each size that the key's polygons have.
     """
-    box = g.bounds(F.element_at(rings, 1))
+    box = g.bounds(F.get(rings, F.lit(0)))
     sized = polygons.withColumn("box", box).withColumn("level", F.ceil(F.log2(F.greatest(F.col("box.e") - F.col("box.w"), F.col("box.n") - F.col("box.s"), F.lit(1e-300)))).cast("int"))
     step = F.pow(F.lit(2.0), F.col("level"))
     at = lambda v: F.floor(v / step).cast("long")
@@ -99,7 +99,7 @@ def outline(polygons: DataFrame, key: str, rings: str = "rings", snap: float = 1
 
     A piece is outline if polygons lie on one side of it only: its edges all run one way, and no other polygon holds it.
     """
-    known = cut(polygons.select(key, F.xxhash64(rings).alias("poly"), F.col(rings).alias("rings")).where(F.size(F.element_at("rings", 1)) > 2).distinct())
+    known = cut(polygons.select(key, F.xxhash64(rings).alias("poly"), F.col(rings).alias("rings")).where(F.size(F.get("rings", F.lit(0))) > 2).distinct())
     edges = cut(directed_edges(known, key, "rings"))
     if size is None:  # a cell as wide as edges are on the average
         found = edges.agg(F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0]
@@ -118,4 +118,4 @@ def union(polygons: DataFrame, key: str, rings: str = "rings", snap: float = 1e-
 
     Polygons with an outer ring of fewer than three vertices, null rings included, are left out; one given twice counts once.
     """
-    return linked(outline(polygons, key, rings, snap, size), key)
+    return linked(outline(polygons, key, rings, snap, size), key, left=True)

@@ -56,10 +56,10 @@ def points_at(places: DataFrame, segs: DataFrame, key: str, at: str, ids: list[s
 def substrings(segs: DataFrame, cuts: DataFrame, key: str, ids: list[str], part: str | None = None) -> DataFrame:
     """key, ids, line (array of x, y), length: the geometry between two running lengths ``lo`` and ``hi`` of each cut, with the vertices between.
 
-    Bounds are held to the line; a cut without length gives no row.  With ``part`` a cut that goes over several parts gives a row a part.
+    Bounds are held to the line; a cut without length, or with a null bound, gives no row.  With ``part`` a cut that goes over several parts gives a row a part.
     """
     parts = [part] if part else []
-    both = cuts.select(key, *ids, F.least("lo", "hi").alias("_lo"), F.greatest("lo", "hi").alias("_hi")).join(segs, key).where((F.col("to") > F.col("_lo")) & (F.col("from") < F.col("_hi")) & (F.col("to") > F.col("from")))
+    both = cuts.select(key, *ids, F.least("lo", "hi").alias("_lo"), F.greatest("lo", "hi").alias("_hi")).where("lo != hi").join(segs, key).where((F.col("to") > F.col("_lo")) & (F.col("from") < F.col("_hi")) & (F.col("to") > F.col("from")))
     size = F.col("to") - F.col("from")
     point = lambda bound: F.struct((F.col("x1") + (bound - F.col("from")) / size * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + (bound - F.col("from")) / size * (F.col("y2") - F.col("y1"))).alias("y"))
     start = F.when(F.col("_lo") > F.col("from"), point(F.col("_lo"))).otherwise(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))

@@ -10,7 +10,7 @@ from wayfold.functions import geometry as g
 from wayfold.functions import text as t
 from wayfold.operators import lines, relations
 from wayfold.plans import trajectories
-from wayfold.plans.tables import points, segments, table
+from wayfold.plans.tables import SEGMENTS, points, segments, table
 
 
 def route_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,9 @@ def road_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind, number, whether the title fits, and aliases, of roads named after parts."""
     p = table(spark, sf_dir, "part")
     number = F.col("p_partkey").cast("string")
+    titled = F.when(F.col("p_size") % 7 == 0, (F.col("p_partkey") + 1).cast("string")).otherwise(number)  # another road's title
     road = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("jp-national-"), number)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("tokyo-prefectural-"), number)).otherwise(F.concat(F.lit("kyoto-prefectural-"), number))
-    title = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("国道"), number, F.lit("号"))).when(F.col("p_size") % 2 == 0, F.concat(F.lit("東京都道・埼玉県道"), number, F.lit("号環状七号線"))).otherwise(F.concat(F.lit("東京都道"), number, F.lit("号")))
+    title = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("国道"), titled, F.lit("号"))).when(F.col("p_size") % 2 == 0, F.concat(F.lit("東京都道・埼玉県道"), titled, F.lit("号環状七号線"))).otherwise(F.concat(F.lit("東京都道"), titled, F.lit("号")))
     r = p.select("p_partkey", road.alias("road"), title.alias("title")).withColumn("kind", routes.road_kind(F.col("road"))).withColumn("number", routes.road_number(F.col("road")))
     return r.where("kind is not null").select("p_partkey", "kind", "number", routes.title_matches(F.col("title"), F.col("kind"), F.col("number")).alias("fits"), F.array_join(routes.road_aliases(F.col("title"), F.col("kind"), F.col("number")), "|").alias("aliases"))
 
@@ -97,10 +98,10 @@ def scene_item_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def story_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps that search results make, written as a story's text and read back."""
+    """Steps that search results make, written as a story's text and read back; every fifth text is cut short and gives no story."""
     action = F.when(F.col("p_size") % 3 == 0, "show").when(F.col("p_size") % 3 == 1, "activate").otherwise("hide")
     p = table(spark, sf_dir, "part").select("p_partkey", F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("displayName"), F.lit("parts").alias("project"), F.array(edits.feature_step(F.col("p_brand"), action)).alias("steps")).alias("story"))
-    back = p.select("p_partkey", "story", edits.story_of(edits.story_json(F.col("story")), dict(p.dtypes)["story"]).alias("back"))
+    back = p.select("p_partkey", "story", edits.story_of(F.when(F.col("p_partkey") % 5 == 0, F.regexp_replace(edits.story_json(F.col("story")), ".$", "")).otherwise(edits.story_json(F.col("story"))), dict(p.dtypes)["story"]).alias("back"))
     step = F.get("back.steps", 0)
     return back.select("p_partkey", F.col("back.displayName").alias("name"), step["action"].alias("action"), step["id"].alias("id"), step["cameraDuration"].alias("seconds"), F.to_json("back").eqNullSafe(F.to_json("story")).alias("same"))
 
@@ -108,13 +109,13 @@ def story_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hausdorff distance, by vertices, of both halves of each vector's line."""
     e = table(spark, sf_dir, "embeddings")
-    line = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: g.vertex(F.get("embedding", i * 2), F.get("embedding", i * 2 + 1)))
-    return e.select("vec_id", F.slice(line, 1, 4).alias("a"), F.slice(line, 5, 4).alias("b")).select("vec_id", F.round(g.hausdorff(F.col("a"), F.col("b")), 5).alias("distance"))
+    line = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: g.vertex(F.get("embedding", i * 2), F.get("embedding", i * 2 + 1)))
+    return e.select("vec_id", F.slice(line, 1, 16).alias("a"), F.slice(line, 17, 16).alias("b")).select("vec_id", F.round(g.hausdorff(F.col("a"), F.col("b")), 5).alias("distance"))
 
 
 def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second event's place ends a line; lines of one user that alone share an end are merged again."""
-    p = points(spark, sf_dir).select("user_id", F.col("i").cast("long").alias("i"), "x", "y").where("i < 40")
+    p = points(spark, sf_dir).select("user_id", F.col("i").cast("long").alias("i"), "x", "y")
     flat = p.select("user_id", F.explode(F.array(F.floor(F.col("i") / 2) - F.when((F.col("i") % 2 == 0), 1).otherwise(0), F.floor(F.col("i") / 2))).alias("id"), "i", "x", "y").where("id >= 0").distinct()
     made = flat.groupBy("user_id", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("line")).where("size(line) > 1 and id % 5 != 4")
     return lines.merge_lines(made, "user_id").select("user_id", F.size("line").cast("long").alias("n_vertices"), F.round(g.length(F.col("line")), 4).alias("length"))
@@ -128,9 +129,9 @@ ORACLE = {
     "route_ids": r"""WITH c AS (SELECT *, 'R' || lpad(CAST(p_partkey % 1200 AS VARCHAR), 3, '0') AS code FROM part),
 v AS (SELECT p_partkey, CASE WHEN p_size > 30 THEN code WHEN p_size > 20 THEN p_brand ELSE code END AS v FROM c)
 SELECT p_partkey, CASE WHEN regexp_matches(v, '^R[0-9]{3}(-[0-9]+)?$') THEN v END AS route_id FROM v""",
-    "road_aliases": """WITH r AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS n, p_size % 3 AS m, p_size % 2 = 0 AS even FROM part WHERE p_size % 3 < 2)
-SELECT p_partkey, CASE WHEN m = 0 THEN 'jp-national' ELSE 'tokyo-prefectural' END AS kind, n AS number, true AS fits,
-  CASE WHEN m = 0 THEN '国道' || n || '|' || n || '号' WHEN even THEN '都道' || n || '号|東京都道' || n || '号|環状七号線|環七通り|環七|環7' ELSE '都道' || n || '号' END AS aliases FROM r""",
+    "road_aliases": """WITH r AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS n, p_size % 3 AS m, p_size % 2 = 0 AS even, p_size % 7 != 0 AS fits FROM part WHERE p_size % 3 < 2)
+SELECT p_partkey, CASE WHEN m = 0 THEN 'jp-national' ELSE 'tokyo-prefectural' END AS kind, n AS number, fits,
+  CASE WHEN m = 0 THEN '国道' || n || '|' || n || '号' WHEN NOT fits THEN '都道' || n || '号|東京都道' || n || '号' WHEN even THEN '都道' || n || '号|東京都道' || n || '号|環状七号線|環七通り|環七|環7' ELSE '都道' || n || '号' END AS aliases FROM r""",
     "class_summary": f"""WITH {trajectories._STATS},
 l AS (SELECT user_id, max("to") AS length FROM segs GROUP BY user_id),
 j AS (SELECT *, user_id % 4 + 1 AS class, median_d <= {trajectories.MEDIAN} AND p90_d <= {trajectories.P90} AS passes FROM stats JOIN l USING (user_id))
@@ -149,10 +150,12 @@ SELECT l_orderkey, array_to_string(CASE WHEN len(s) > 2 THEN list_concat(s[2:3],
 a AS (SELECT l_orderkey, CASE WHEN len([x for x in i if x.id = 3]) > 0 THEN i ELSE list_append(i, {'id': 3, 'b': false}) END AS i FROM l)
 SELECT l_orderkey, array_to_string([x.id || CASE WHEN x.id = 3 THEN '+' ELSE '-' END for x in i], ',') AS shown, array_to_string([x.id || '-' for x in i], ',') AS hidden,
   array_to_string([x.id || CASE WHEN x.id = 3 THEN '+' ELSE '-' END for x in i if x.id <> 3 OR x.b], ',') AS removed, array_to_string([x.id || CASE WHEN x.id = 3 THEN '+' ELSE '-' END for x in i if x.b], ',') AS cleared FROM a""",
-    "story_round_trip": "SELECT p_partkey, p_name AS name, CASE p_size % 3 WHEN 0 THEN 'show' WHEN 1 THEN 'activate' ELSE 'hide' END AS action, p_brand AS id, CASE WHEN p_size % 3 = 1 THEN 0.8::DOUBLE END AS seconds, true AS same FROM part",
-    "line_hausdorff": """WITH v AS (SELECT vec_id, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM (SELECT vec_id, embedding, unnest(range(0, 8)) AS i FROM embeddings)),
-s AS (SELECT a.vec_id, a.i // 4 AS half, a.x AS x1, a.y AS y1, b.x - a.x AS dx, b.y - a.y AS dy FROM v a JOIN v b ON a.vec_id = b.vec_id AND b.i = a.i + 1 AND a.i <> 3),
-t AS (SELECT v.vec_id, v.i, v.x, v.y, x1, y1, dx, dy, CASE WHEN dx * dx + dy * dy = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((v.x - x1) * dx + (v.y - y1) * dy) / (dx * dx + dy * dy))) END AS t FROM v JOIN s ON s.vec_id = v.vec_id AND s.half <> v.i // 4),
+    "story_round_trip": "SELECT p_partkey, CASE WHEN ok THEN p_name END AS name, CASE WHEN NOT ok THEN NULL WHEN p_size % 3 = 0 THEN 'show' WHEN p_size % 3 = 1 THEN 'activate' ELSE 'hide' END AS action, CASE WHEN ok THEN p_brand END AS id, CASE WHEN ok AND p_size % 3 = 1 THEN 0.8::DOUBLE END AS seconds, ok AS same FROM (SELECT *, p_partkey % 5 != 0 AS ok FROM part)",
+    "line_hausdorff": """WITH v AS (SELECT vec_id, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM (SELECT vec_id, embedding, unnest(range(0, 32)) AS i FROM embeddings)),
+s AS (SELECT a.vec_id, a.i // 16 AS half, a.x AS x1, a.y AS y1, b.x - a.x AS dx, b.y - a.y AS dy FROM v a JOIN v b ON a.vec_id = b.vec_id AND b.i = a.i + 1 AND a.i <> 15),
+t AS (SELECT v.vec_id, v.i, v.x, v.y, x1, y1, dx, dy, CASE WHEN dx * dx + dy * dy = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((v.x - x1) * dx + (v.y - y1) * dy) / (dx * dx + dy * dy))) END AS t FROM v JOIN s ON s.vec_id = v.vec_id AND s.half <> v.i // 16),
 d AS (SELECT vec_id, i, min(sqrt((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2)) AS d FROM t GROUP BY vec_id, i)
 SELECT vec_id, round(max(d), 5) AS distance FROM d GROUP BY vec_id""",
+    "merged_lines": f"""WITH {SEGMENTS}
+SELECT user_id, count(*) + 1 AS n_vertices, round(sum(size), 4) AS length FROM segs WHERE seg % 10 < 8 GROUP BY user_id, seg // 10""",
 }

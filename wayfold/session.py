@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 
 _PACKAGE = __name__.split(".")[0]
 
@@ -47,3 +49,16 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
     SparkContext._wayfold_shipped = sc.applicationId
+
+
+def shipping(function: Callable[..., Column]) -> Callable[..., Column]:
+    """A maker of Columns over Python functions that sends this package to the executors of the session it is used in."""
+
+    @functools.wraps(function)
+    def call(*columns: Column, **options: object) -> Column:
+        active = SparkSession.getActiveSession()
+        if active is not None:
+            ship(active)
+        return function(*columns, **options)
+
+    return call

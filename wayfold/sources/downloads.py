@@ -79,7 +79,7 @@ def judged(files: DataFrame, content: str = "content", expected: Column | None =
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """path and content of files, by Spark's own source, so any store that Spark reads will do."""
+    """path and content of files, by Spark's own source, so any store that Spark reads will do.  That source leaves files without a byte out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "content")
 

@@ -50,6 +50,8 @@ def polygons_of(rings: list[list[tuple[float, float]]]) -> list[list[list[tuple[
 def shape_of(content: bytes) -> tuple[str, list] | None:
     """gtype and polys of a record's content."""
     (kind,) = struct.unpack_from("<i", content)
+    if kind > 28:
+        raise ValueError(f"shape of unknown kind {kind}")
     kind %= 10
     if kind == 0:
         return None
