@@ -67,15 +67,11 @@ def test_stretch(lo, hi, found):
     assert matching.stretch([(0, 0), (10, 0), (10, 10)], lo, hi) == [pytest.approx(p) for p in found]
 
 
-def test_a_gap_is_bridged_over_one_path_only(spark):
+def test_a_gap_without_a_path_in_its_stretch_stays_open(spark):
     road = dict(a=(1, (0, 0), (60, 0)), way=(1, (60, 0), (80, 80), (100, 0)), b=(1, (100, 0), (160, 0)))
     found = conflate.match(sampled(spark, (0, 0, 160, 0)), atoms(spark, **road), radius=10.0)
-    assert by(found["gaps"], "owner", "next_owner", "decision") == [("a", "b", "unresolved-threshold")]
-    near = road | {"way": (1, (60, 0), (80, 14), (100, 0))}
-    found = conflate.match(sampled(spark, (0, 0, 160, 0)), atoms(spark, **near), radius=5.0)
-    row = found["gaps"].where("owner = 'a' and next_owner = 'b'").collect()
-    assert not row or row[0]["decision"] == "accepted-auto-connector"
-    assert found["runs"].where("owner = 'way'").count() + sum(list(r["path"]) == ["way"] for r in row) >= 1
+    assert by(found["gaps"], "owner", "next_owner", "decision", "geometry_gap_m", "n_paths") == [("a", "b", "unresolved-no-path", 40.0, 0)]
+    assert by(found["chosen"], "edge", "status", "length") == [("a", "accepted-owned-samples", 60.0), ("b", "accepted-owned-samples", 60.0)]
 
 
 def test_a_transition_joins_two_parts(spark):
@@ -99,3 +95,90 @@ def test_too_many_classes_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(matching, "MAX_CLASSES", 1)
     with pytest.raises(ValueError, match="classes"):
         matching.class_order(spark.createDataFrame([(1,), (2,)], "class int"))
+
+
+# Rules of the matcher one by one
+
+
+def test_a_line_follows_only_in_direction_and_near_the_stretch():
+    reference = [(5.0 * k, 0.0) for k in range(21)]
+    assert matching.follows([(20.0, 3.0), (40.0, 3.0)], reference, 20.0, 40.0) and matching.follows([(40.0, 3.0), (20.0, 3.0)], reference, 20.0, 40.0)
+    assert not matching.follows([(28.0, -6.0), (32.0, 6.0)], reference, 25.0, 35.0)  # 72 degrees off
+    assert not matching.follows([(20.0, 3.0), (60.0, 3.0)], reference, 20.0, 40.0)  # beyond the stretch
+    bend = [(0.0, 0.0), (50.0, 0.0), (50.0, 10.0), (0.0, 10.0)]  # the reference comes back beside itself
+    assert not matching.follows([(0.0, 45.0), (50.0, 45.0)], bend, 0.0, 50.0) and matching.follows([(0.0, -5.0), (45.0, -5.0)], bend, 0.0, 50.0)
+    assert not matching.follows([(0.0, 0.0)], reference, 0.0, 5.0) and not matching.follows([], reference, 0.0, 5.0)
+
+
+def test_ends_pair_by_progress_before_turn():
+    """A bend of the road goes on into its bend, although a straight line leaves the junction too."""
+    ends = [("in", 0, 0, -1.0, 0.0), ("straight", 0, 0, 1.0, 0.0), ("bend", 0, 0, math.cos(0.7), math.sin(0.7))]
+    assert matching.pair_ends(ends) == [("in", "straight")]
+    progress = {"in": (100.0, 90.0, 0.0), "straight": (100.0, 99.9, 8.0), "bend": (100.0, 110.0, 0.0)}
+    assert matching.pair_ends(ends, progress=progress) == [("bend", "in")]
+    assert matching.pair_ends([("a", 0, 0, 1.0, 0.0), ("b", 0, 0, 0.0, 1.0)]) == []  # a right angle
+
+
+def test_chains_move_ends_to_their_mean_and_guards_measure_it(spark):
+    road = atoms(spark, a=(1, (0, 0), (49, 1)), b=(1, (50, 0), (100, 0)), c=(1, (101.5, 1), (150, 0)))
+    given = sampled(spark, (0, 0, 150, 0))
+    lines = conflate.shapes(road)
+    owned = spark.createDataFrame([(0, k, e) for k, e in enumerate("abc")], "part long, sample long, owner string")
+    shown = conflate.display(owned, lines, given)
+    rows = {r.line: r for r in shown.collect()}
+    assert {k: (r.chain, r.pos, r.backwards) for k, r in rows.items()} == {"a": (0, 0, False), "b": (0, 1, False), "c": (0, 2, False)}
+    assert [(p.x, p.y) for p in rows["a"].path] == [(0, 0), (49.5, 0.5)] and [(p.x, p.y) for p in rows["b"].path] == [(49.5, 0.5), (100.75, 0.5)]
+    (found,) = conflate.guards(shown, lines, given).collect()
+    assert found.kept and math.isclose(found.moved_m, math.hypot(0.75, 0.5), rel_tol=1e-6) and math.isclose(found.source_residual_m, 1.0) and math.isclose(found.display_residual_m, 0.5)
+    away = shown.withColumn("path", F.transform("path", lambda p: F.struct(p["x"].alias("x"), (p["y"] + 9).alias("y"))))
+    (found,) = conflate.guards(away, lines, given).collect()
+    assert not found.kept and found.moved_m > 8
+
+
+def gap_of(spark, road, given=None, **limits):
+    """The decision about the gap between atoms a (0 to 60) and b (100 to 160) of one straight part."""
+    given = given or sampled(spark, (0, 0, 160, 0))
+    rows = atoms(spark, a=(1, (0, 0), (60, 0)), b=(1, (100, 0), (160, 0)), **road)
+    lines = conflate.shapes(rows)
+    segs = conflate.polyline.line_segments(lines, "edge")
+    runs = spark.createDataFrame([(0, 1, "a", 1, 0, 13, 0.0, 60.0), (0, 2, "b", 1, 20, 33, 100.0, 160.0)], "part long, run int, owner string, class int, start long, end long, from_m double, to_m double")
+    ranges = conflate.source_ranges(runs, given, segs)
+    assert sorted((r.owner, round(r.lo, 6), round(r.hi, 6)) for r in ranges.collect()) == [("a", 0, 60), ("b", 0, 60)]
+    met = conflate.meeting_places(matching.junctions(conflate.ends(lines)), conflate.ends(lines), given, 35.0, 5.0)
+    gaps = conflate.decide(runs, ranges, segs, met)
+    (gap,) = gaps.collect()
+    assert gap.gap_m == 40 and gap.geometry_gap_m == 40 and gap.decision == "open"
+    kinds = rows.select("edge", "class").distinct()
+    taken = spark.createDataFrame([("a",), ("b",)], "edge string")
+    (found,) = conflate.connectors(gaps, conflate.topology.junctions(lines, "edge", 2.0), conflate.spans(given, segs, kinds), taken, kinds, **limits).collect()
+    return found.decision, found.path, [(list(p.path), list(p.reasons)) for p in found.paths or []]
+
+
+@pytest.mark.parametrize(
+    ("road", "want"),
+    [
+        ({"way": (1, (60, 0), (80, 5), (100, 0))}, ("accepted-auto-connector", ["way"], [(["way"], [])])),
+        ({"way": (1, (60, 0), (80, 5), (80, 0)), "on": (1, (80, 0), (100, 0))}, ("accepted-auto-connector", ["way", "on"], [(["way", "on"], [])])),
+        ({"way": (1, (60, 0), (80, 5), (100, 0)), "twin": (1, (60, 0), (80, -5), (100, 0))}, ("unresolved-ambiguous", None, [(["twin"], []), (["way"], [])])),
+        ({"way": (2, (60, 0), (80, 5), (100, 0))}, ("unresolved-no-path", None, [])),  # of another class
+        ({"way": (1, (60, 0), (70, 35), (80, -35), (90, 35), (100, 0))}, ("unresolved-threshold", None, [(["way"], ["detour-ratio", "insufficient-progression"])])),
+        ({"stem": (1, (60, 0), (80, 30))}, ("unresolved-no-path", None, [])),
+        ({"loop": (1, (60, 0), (40, 5), (20, 0))}, ("unresolved-no-path", None, [])),  # outside the stretch
+    ],
+)
+def test_connectors_by_class_window_progress_and_number(spark, road, want):
+    assert gap_of(spark, road) == want
+
+
+def test_an_inside_junction_opens_a_path(spark):
+    """The connector starts on the inside of an atom, not at its end."""
+    assert gap_of(spark, {"way": (1, (58.5, 1.5), (80, 5), (100, 0))})[0] == "accepted-auto-connector"
+
+
+def test_what_is_chosen_has_geometry(spark):
+    road = dict(a=(1, (0, 0), (90, 0)), link=(1, (90, 0), (110, 0)), b=(1, (110, 0), (200, 0)), spur=(2, (50, 0), (50, 90)))
+    found = conflate.match(sampled(spark, (0, 0, 100, 0), (100, 0, 200, 0)), atoms(spark, **road))
+    rows = {(r.part, r.edge): (r.status, [(round(p.x, 6), round(p.y, 6)) for p in r.line], round(r.length, 6)) for r in found["chosen"].collect()}
+    assert rows[(0, "a")] == ("accepted-owned-samples", [(0, 0), (90, 0)], 90.0)
+    assert all(r.kept for r in found["guards"].collect())
+    assert rows[(1, "link")][2] == 10 and "spur" not in {e for _, e in rows}  # the other half of the link is too short for a run

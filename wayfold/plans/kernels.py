@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.plans.matching import BRIDGE, SNAP, STEP, follows
+from wayfold.plans.matching import cluster_means as cluster_means
+from wayfold.session import ship
 
 Point = tuple[float, float]
 
@@ -92,20 +94,6 @@ def extend_to_junctions(runs: DataFrame, junctions: DataFrame, most: float = 35.
     return out.withColumn("ends", F.when(ends == "", "interior").otherwise(ends)).withColumn("from_m", F.coalesce("_start", "from_m")).withColumn("to_m", F.coalesce("_end", "to_m")).drop("_start", "_end")
 
 
-def cluster_means(points: list[Point], tolerance: float) -> list[tuple[int, Point]]:
-    """The cluster of each point and the cluster's mean: a point joins the first cluster all of whose points are within the tolerance."""
-    groups: list[list[Point]] = []
-    at: list[int] = []
-    for p in points:
-        k = next((i for i, g in enumerate(groups) if all(math.dist(p, q) <= tolerance for q in g)), len(groups))
-        if k == len(groups):
-            groups.append([])
-        groups[k].append(p)
-        at.append(k)
-    mean = [(sum(x for x, _ in g) / len(g), sum(y for _, y in g) / len(g)) for g in groups]
-    return [(k, mean[k]) for k in at]
-
-
 def stitch(fragments: list[list[Point]], most_gap: float = 12.0, max_turn: float = 45.0) -> list[list[Point]]:
     """Fragments joined on screen, the smallest gap first; appending goes before prepending, forward before reversed, then by index."""
     parts = [list(f) for f in fragments if len(f) > 1]
@@ -148,6 +136,7 @@ def place_labels(labels: DataFrame, screen: str, order: list[str]) -> DataFrame:
                     break
         return pd.DataFrame(out, columns=[screen, "id", "anchor", "x", "y"])
 
+    ship(labels.sparkSession)
     return labels.groupBy(screen).applyInPandas(place, f"{screen} {kind[screen]}, id {kind['id']}, anchor {kind['anchor']}, x double, y double")
 
 
