@@ -88,3 +88,15 @@ def bounded_paths(edges: DataFrame, start: DataFrame, most: int, node: str = "no
 def best_k(rows: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:
     """The first k rows of each key in the order."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
+
+
+def dimmed(rows: DataFrame, chosen: DataFrame, id_col: str) -> DataFrame:
+    """The rows that a choice leaves in the background: all that are not chosen, and none where nothing is."""
+    some = chosen.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    return rows.join(some, id_col, "left_anti").join(some.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_semi")
+
+
+def available(rows: DataFrame, files: DataFrame, id_col: str, kind: str, wanted: list[str]) -> DataFrame:
+    """The rows that have a file of every wanted kind."""
+    whole = files.where(F.col(kind).isin(wanted)).groupBy(id_col).agg(F.countDistinct(kind).alias("_n")).where(F.col("_n") == len(set(wanted)))
+    return rows.join(whole, id_col, "left_semi")

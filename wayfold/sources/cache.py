@@ -14,7 +14,7 @@ BOUNDS = ("bbox_west", "bbox_south", "bbox_east", "bbox_north")
 def with_bounds(rows: DataFrame) -> DataFrame:
     """Flat columns, so that row groups can be skipped by their least and greatest values."""
     b = g.bounds(vertices(F.col("geom")))
-    return rows.withColumn("_b", b).select(*rows.columns, *[F.col(f"_b.{k}").alias(c) for k, c in zip("wsen", BOUNDS, strict=True)])
+    return rows.withColumns({c: b[k] for k, c in zip("wsen", BOUNDS, strict=True)})
 
 
 def write_cache(rows: DataFrame, root: str, class_col: str) -> None:

@@ -1,4 +1,4 @@
-"""Publishing in one step: readers see the old folder or the whole new one; and project bundles read back."""
+"""Publishing by rename: readers never see part of a folder; and project bundles read back."""
 
 from __future__ import annotations
 
@@ -16,7 +16,8 @@ PROJECT_ID = re.compile(r"[a-z0-9][a-z0-9-]*")
 def publish(spark: SparkSession, path: str, write: Callable[[str], object]) -> None:
     """Have a folder written beside the path, then renamed to it; if writing fails nothing changes.
 
-    An older folder is moved aside first and deleted last, so it comes back if the rename fails.
+    An older folder is moved aside first and deleted last, so it comes back if the rename fails.  Between the two renames, for an instant, readers find no
+    folder; on an object store, where a rename copies, for longer.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
