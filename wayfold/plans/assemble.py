@@ -164,7 +164,8 @@ SELECT o_custkey, f AS fingerprint, f AS repeated FROM h""",
 SELECT p_partkey, CASE WHEN p_partkey % 9 != 0 THEN sha256(t || '}') END AS fingerprint, sha256(t || '}') AS other_order, 'p:' || substr(sha256(t || ',"presentationType":"other"}'), 1, 20) AS content_id FROM j""",
     "built_roads": """SELECT p_partkey, p_name AS name, 'data/' || p_partkey || '-a.geojson' AS source FROM part
 WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""",
-    "dimmed_parts": """SELECT p_brand, count(*) AS n, 'some' AS choice FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45 AND p_partkey % 40 = 1) GROUP BY p_brand""",
+    "dimmed_parts": """SELECT p_brand, count(*) AS n, 'some' AS choice FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45 AND p_partkey % 40 = 1)
+  AND EXISTS (SELECT 1 FROM part WHERE p_size > 45 AND p_partkey % 40 = 1) GROUP BY p_brand""",
     "line_marks": """WITH p AS (SELECT p_partkey, p_partkey % 50 AS id, CASE p_size % 4 WHEN 0 THEN 'road' WHEN 1 THEN 'railway' WHEN 2 THEN 'historical-road' ELSE 'station' END AS type FROM part)
 SELECT p_partkey, id = 8 AND type = 'road' AS active_line, CASE WHEN type != 'station' THEN 'selected' END AS multi,
   CASE WHEN type != 'station' THEN CASE WHEN id = 8 AND type = 'road' THEN 'active' ELSE 'retained' END END AS single FROM p""",
