@@ -8,7 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from wayfold.llm import decontaminate, line_dedup, simhash, span_dedup
+from pyspark.sql import functions as F
+
+from wayfold.llm import decontaminate, language_id, line_dedup, simhash, span_dedup
 from wayfold.llm.queries import ORACLE, QUERIES
 
 
@@ -323,7 +325,7 @@ def test_a_passage_of_very_short_sentences_is_covered(spark, documents):
     assert [(r["doc_id"], list(r["removed"]), list(r["first_ids"])) for r in found] == [(2, list(range(1, 31)), [1])]
 
 
-CLASHES = "_gone string, _gone_id long, doc_id_ long, h long, key long, fp long, removed string, _owner string, _row long, _numbers int, _mine int, _stays int, row long, sig long"
+CLASHES = "_gone string, _gone_id long, doc_id_ long, h long, key long, fp long, removed string, _owner string, _row long, _numbers int, _mine int, _stays int, row long, sig long, `a.b` string, `text.of` long, `doc_id.` string"
 
 
 def clashing(spark, rows):
@@ -407,3 +409,22 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, documents, tmp_
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in found) == list(range(50)) and all(r["round_trip"] for r in found)
+
+
+def test_odd_names_pass_through_every_operator_that_keeps_rows(spark):
+    """Names with dots come back as they were, from each operator and through the stages of the pipeline."""
+    rows = [(k, f"This is quite an ordinary English sentence number {k} about the weather and the old harbour of the town.") for k in range(12)]
+    docs = clashing(spark, rows).withColumn("lang", F.lit("en"))
+    model = language_id.fit(docs)
+    found = [
+        language_id.identify(docs, model, keep=True, min_score=0.0),
+        line_dedup.dedup_lines(docs),
+        span_dedup.dedup_spans(docs),
+        simhash.without_near_duplicates(docs, shingle=5, least=0.8),
+        decontaminate.without_leaks(docs, spark.createDataFrame([(1, "no text of the corpus has any of these words in it at all")], "item_id long, text string")),
+    ]
+    for out in found:
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        kept = out.collect()
+        assert kept and all(r["a.b"] == "x" and r["text.of"] == 7 and r["doc_id."] == "x" for r in kept)
+    assert language_id.identify(docs, model).columns == ["doc_id", "lang_pred", "score", "rejected"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -57,6 +58,26 @@ def unused(docs: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def plain_names(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let an operator that passes columns on see names without dots and backticks, and give its result the names that came.
+
+    Such names can be read as fields of structs by selections and by Arrow.  Tables without them go through unchanged.
+    """
+
+    @functools.wraps(function)
+    def call(docs: DataFrame, *args: object, **options: object) -> DataFrame:
+        odd = [c for c in docs.columns if "." in c or "`" in c]
+        if not odd:
+            return function(docs, *args, **options)
+        to = dict(zip(odd, unused(docs, *(f"column{k}" for k in range(len(odd)))), strict=True))
+        named = lambda v: to.get(v, v) if isinstance(v, str) else v
+        found = function(docs.toDF(*[to.get(c, c) for c in docs.columns]), *map(named, args), **{k: named(v) for k, v in options.items()})
+        back = {v: k for k, v in to.items()}
+        return found.toDF(*[back.get(c, c) for c in found.columns])
+
+    return call
+
+
 def release() -> None:
     """Give memory that a worker has freed back to the machine; the worker lives on for other tasks and keeps it otherwise."""
     pa.default_memory_pool().release_unused()

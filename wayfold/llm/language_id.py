@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import portions, release, ship
+from wayfold.llm.common import plain_names, portions, release, ship
 from wayfold.llm.words import WordTable
 
 SIZES = (2, 3, 4)
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", te
     return train([x for held, x in made if not held or x[0] not in met], [x for held, x in made if held])
 
 
+@plain_names
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, keep: bool = False) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every row; with ``keep``, the rows of docs that are not rejected, as they were."""
     ship(docs.sparkSession)

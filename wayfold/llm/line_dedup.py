@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, per_row, release, rows_and_text, ship, unused
+from wayfold.llm.common import cut, per_row, plain_names, release, rows_and_text, ship, unused
 from wayfold.operators.bitmap import KeyFilter
 
 #: Shorter lines are no lines.
@@ -245,6 +245,7 @@ def without(text: str, gone: list[int]) -> str | None:
     return "\n".join(left) if any(x.strip(BLANKS) for x in left) else None
 
 
+@plain_names
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without removed lines, and without the documents that had nothing else."""
     _, gone = removals(docs, id_col, text_col)

@@ -33,9 +33,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id are neither learned from nor held out."""
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, where=~held_out())
-    return language_id.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    return language_id.identify(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, per_row, release, rows_and_text, ship, unused
+from wayfold.llm.common import cut, per_row, plain_names, release, rows_and_text, ship, unused
 from wayfold.operators.bitmap import KeyFilter
 from wayfold.operators.components import connected_components
 
@@ -361,6 +361,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(component, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@plain_names
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None) -> DataFrame:
     """The rows of docs, one of each component."""
     rows = cut(classes(docs, id_col, text_col, shingle, least))

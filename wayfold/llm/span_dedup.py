@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, per_row, release, rows_and_text, ship, unused
+from wayfold.llm.common import cut, per_row, plain_names, release, rows_and_text, ship, unused
 from wayfold.operators.bitmap import KeyFilter
 
 RUN = 3
@@ -181,6 +181,7 @@ def rewritten(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
     return out.unionByName(keyed.where(~touched).select(*names)) if all_rows else out
 
 
+@plain_names
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, texts without covered sentences."""
     return rewritten(docs, cut(covered(docs, id_col, text_col)), id_col, text_col)
