@@ -10,7 +10,7 @@ from wayfold.functions import geometry as g
 from wayfold.operators import relations, topology
 from wayfold.plans import trajectories
 from wayfold.plans.linework import _PIECES, _pieces
-from wayfold.plans.tables import POINTS, points, table
+from wayfold.plans.tables import points, segment_gap, table
 from wayfold.sources import reference, snapshots
 
 REFERENCE = {"type": "osm-ref", "ref": "3", "network": "n1", "excludeNames": ["error"], "excludeIds": [100000, 700001]}
@@ -146,9 +146,7 @@ pair AS (
   SELECT a.id AS a, b.id AS b, a.x1, a.y1, a.x2, a.y2, b.x1 AS u1, b.y1 AS v1, b.x2 AS u2, b.y2 AS v2 FROM s a JOIN s b ON a.id != b.id
     AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) + 0.01 AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) + 0.01 AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) + 0.01 AND least(b.y1, b.y2) <= greatest(a.y1, a.y2) + 0.01),
 reach0 AS (
-  SELECT DISTINCT a, b FROM pair WHERE
-    (((x2 - x1) * (v1 - y1) - (y2 - y1) * (u1 - x1)) * ((x2 - x1) * (v2 - y1) - (y2 - y1) * (u2 - x1)) < 0 AND ((u2 - u1) * (y1 - v1) - (v2 - v1) * (x1 - u1)) * ((u2 - u1) * (y2 - v1) - (v2 - v1) * (x2 - u1)) < 0)
-    OR least({", ".join(f"sqrt(({px} - {a} - greatest(0, least(1, (({px} - {a}) * ({c} - {a}) + ({py} - {b}) * ({d} - {b})) / nullif(({c} - {a}) ** 2 + ({d} - {b}) ** 2, 0))) * ({c} - {a})) ** 2 + ({py} - {b} - greatest(0, least(1, (({px} - {a}) * ({c} - {a}) + ({py} - {b}) * ({d} - {b})) / nullif(({c} - {a}) ** 2 + ({d} - {b}) ** 2, 0))) * ({d} - {b})) ** 2)" for px, py, a, b, c, d in (("x1", "y1", "u1", "v1", "u2", "v2"), ("x2", "y2", "u1", "v1", "u2", "v2"), ("u1", "v1", "x1", "y1", "x2", "y2"), ("u2", "v2", "x1", "y1", "x2", "y2")))}) <= 0.01),
+  SELECT DISTINCT a, b FROM pair WHERE {segment_gap(("x1", "y1", "x2", "y2"), ("u1", "v1", "u2", "v2"))} <= 0.01),
 reach(a, b) AS (SELECT id, id FROM kept UNION SELECT r.a, e.b FROM reach r JOIN reach0 e ON r.b = e.a),
 grouped AS (SELECT b AS id, min(a) AS c FROM reach GROUP BY b),
 sizes AS (SELECT c, sum(whole) AS length FROM grouped JOIN total USING (id) GROUP BY c)

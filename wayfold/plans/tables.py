@@ -54,3 +54,18 @@ placed AS (
 samples AS (
   SELECT user_id, sample, chain, x1 + t * (x2 - x1) AS x, y1 + t * (y2 - y1) AS y, (x2 - x1) / whole AS tx, (y2 - y1) / whole AS ty FROM (
     SELECT *, CASE WHEN "to" - "from" > 0 THEN (chain - "from") / ("to" - "from") ELSE 1.0 END AS t, CASE WHEN "to" - "from" > 0 THEN "to" - "from" ELSE 1.0 END AS whole FROM placed))"""
+
+
+def segment_gap(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> str:
+    """SQL for the distance of two segments, each by the names of x1, y1, x2, y2: 0 where they cross, else the least of an end to the other."""
+
+    def side(s: tuple[str, str, str, str], x: str, y: str) -> str:
+        return f"(({s[2]} - {s[0]}) * ({y} - {s[1]}) - ({s[3]} - {s[1]}) * ({x} - {s[0]}))"
+
+    def far(x: str, y: str, s: tuple[str, str, str, str]) -> str:
+        dx, dy = f"({s[2]} - {s[0]})", f"({s[3]} - {s[1]})"
+        t = f"coalesce(greatest(0.0, least(1.0, (({x} - {s[0]}) * {dx} + ({y} - {s[1]}) * {dy}) / nullif({dx} ** 2 + {dy} ** 2, 0))), 0.0)"
+        return f"sqrt(({x} - {s[0]} - {t} * {dx}) ** 2 + ({y} - {s[1]} - {t} * {dy}) ** 2)"
+
+    cross = f"{side(a, b[0], b[1])} * {side(a, b[2], b[3])} < 0 AND {side(b, a[0], a[1])} * {side(b, a[2], a[3])} < 0"
+    return f"CASE WHEN {cross} THEN 0.0 ELSE least({far(a[0], a[1], b)}, {far(a[2], a[3], b)}, {far(b[0], b[1], a)}, {far(b[2], b[3], a)}) END"

@@ -10,7 +10,7 @@ from wayfold.operators import grid, islands, polyline
 from wayfold.operators.components import cut
 from wayfold.plans import matching
 from wayfold.plans.matching import own
-from wayfold.plans.tables import POINTS, SEGMENTS, points, samples_sql, segments, table
+from wayfold.plans.tables import POINTS, SEGMENTS, points, samples_sql, segment_gap, segments, table
 
 STEP = 25.0
 RADIUS = 10.0
@@ -55,15 +55,15 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traj_residual_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every polyline with a sample within RADIUS of the reference, how far all its samples are, near and far ones."""
-    segs = segments(spark, sf_dir)
+    """Of every polyline within RADIUS of the reference, the least distance of the two lines, and how far all its samples are, near and far ones."""
+    segs = cut(segments(spark, sf_dir))
     first = segs.agg(F.min("user_id").alias("reference"))
     ref = cut(segs.join(first, F.col("user_id") == F.col("reference"), "left_semi").select("x1", "y1", "x2", "y2"))
-    s = cut(polyline.samples(segs, "user_id", STEP).select("user_id", "sample", "x", "y"))  # read by every round below
-    d = g.point_segment(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
-    shortlist = grid.grid_segment_join(s, ref, RADIUS, d).select("user_id").distinct()
+    shortlist = cut(grid.segments_within(segs, ref, RADIUS, ["user_id"], []))
+    s = polyline.samples(segs, "user_id", STEP).select("user_id", "sample", "x", "y")
     every = grid.nearest_distance(s.join(shortlist, "user_id", "left_semi"), ref, ["user_id", "sample"], 4 * RADIUS, "d").groupBy("user_id", "sample").agg(F.min("d").alias("d"))
-    return every.groupBy("user_id").agg(F.count("*").alias("n_samples"), F.round(F.min("d"), 3).alias("min_d"), F.round(F.percentile("d", F.lit(0.5)), 3).alias("median_d"), F.round(F.percentile("d", F.lit(0.9)), 3).alias("p90_d"))
+    found = every.groupBy("user_id").agg(F.count("*").alias("n_samples"), F.round(F.percentile("d", F.lit(0.5)), 3).alias("median_d"), F.round(F.percentile("d", F.lit(0.9)), 3).alias("p90_d"))
+    return found.join(shortlist, "user_id").select("user_id", "n_samples", F.round("distance", 3).alias("min_d"), "median_d", "p90_d")
 
 
 def traj_residual_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,8 +261,10 @@ near AS (
   GROUP BY s.user_id, s.sample HAVING min(sqrt((s.x - (x1 + t * (x2 - x1))) ** 2 + (s.y - (y1 + t * (y2 - y1))) ** 2)) <= {RADIUS})"""
 
 _STATS = _NEAR[: _NEAR.rindex(" HAVING")] + f"""),
+lined AS (SELECT s.user_id, min({segment_gap(("s.x1", "s.y1", "s.x2", "s.y2"), ("r.x1", "r.y1", "r.x2", "r.y2"))}) AS gap FROM segs s, ref r GROUP BY s.user_id),
 stats AS (
-  SELECT user_id, count(*) AS n_samples, round(min(d), 3) AS min_d, round(quantile_cont(d, 0.5), 3) AS median_d, round(quantile_cont(d, 0.9), 3) AS p90_d FROM near GROUP BY user_id HAVING min(d) <= {RADIUS})"""
+  SELECT user_id, count(*) AS n_samples, round(any_value(gap), 3) AS min_d, round(quantile_cont(d, 0.5), 3) AS median_d, round(quantile_cont(d, 0.9), 3) AS p90_d
+  FROM near JOIN lined USING (user_id) WHERE gap <= {RADIUS} GROUP BY user_id)"""
 
 _COVERED = _NEAR + """,
 flags AS (SELECT s.user_id, s.sample, n.d IS NOT NULL AS hit FROM (SELECT DISTINCT user_id, sample FROM samples) s LEFT JOIN near n USING (user_id, sample))"""
