@@ -413,6 +413,7 @@ def _encode(x: str) -> str:
 
 
 ORACLE = {
+    "text_normalize": r"""SELECT DISTINCT source, lang, lower(replace(source, ' ', '')) || 'no1' AS search_form, lower(trim(regexp_replace(lang, '\s+', ' ', 'g'))) AS alias FROM documents""",
     "grid_distance_join": f"WITH {_PLACES} SELECT c_custkey, s_suppkey, round(distance, 6) AS distance FROM pairs WHERE distance <= 5",
     "nearest_argmin": f"WITH {_PLACES} SELECT c_custkey, arg_min(s_suppkey, (distance, s_suppkey)) AS s_suppkey, round(min(distance), 6) AS distance, count(*) AS n_near FROM pairs WHERE distance <= 10 GROUP BY c_custkey",
     "near_semi": f"WITH {_PLACES} SELECT DISTINCT c_custkey FROM pairs WHERE distance <= 8 AND s_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0)",
