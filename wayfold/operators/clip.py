@@ -11,20 +11,38 @@ from wayfold.model import GEOMETRY
 from wayfold.operators import polyline
 
 
+def _joined(pieces: DataFrame, key: str) -> DataFrame:
+    """key, fragment, line, length from pieces (seg, ``_t.t0``, ``_t.t1``) of segments: joined where one ends and the next begins at a common vertex."""
+    w = Window.partitionBy(key).orderBy("seg", "_t.t0")
+    goes_on = (F.col("seg") == F.lag("seg").over(w) + 1) & (F.col("_t.t0") == 0) & (F.lag("_t.t1").over(w) == 1)
+    numbered = pieces.withColumn("fragment", F.sum(F.coalesce(~goes_on, F.lit(True)).cast("int")).over(w) - 1)
+    place = lambda t: F.struct((F.col("x1") + F.col(t) * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + F.col(t) * (F.col("y2") - F.col("y1"))).alias("y"))
+    size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * (F.col("_t.t1") - F.col("_t.t0"))
+    rows = F.sort_array(F.collect_list(F.struct("seg", place("_t.t0").alias("a"), place("_t.t1").alias("b"))))
+    return numbered.groupBy(key, "fragment").agg(rows.alias("_r"), F.sum(size).alias("length")).select(key, "fragment", F.concat(F.array(F.element_at("_r", 1)["a"]), F.transform("_r", lambda r: r["b"])).alias("line"), "length")
+
+
 def fragments(segs: DataFrame, key: str, box: tuple[float, float, float, float]) -> DataFrame:
     """key, fragment (from 0), line, length: the stretches of each line inside the box, a row a stretch; touching it in a point gives none.
 
     segs: key, seg, x1, y1, x2, y2.  Segments are cut one by one and joined again where the line does not leave the box between them.
     """
     cut = g.clip(*map(F.col, ("x1", "y1", "x2", "y2")), *box)
-    inside = segs.withColumn("_t", cut).where("_t is not null and _t.t0 < _t.t1")
-    w = Window.partitionBy(key).orderBy("seg")
-    goes_on = (F.col("seg") == F.lag("seg").over(w) + 1) & (F.col("_t.t0") == 0) & (F.lag("_t.t1").over(w) == 1)
-    numbered = inside.withColumn("fragment", F.sum(F.coalesce(~goes_on, F.lit(True)).cast("int")).over(w) - 1)
-    place = lambda t: F.struct((F.col("x1") + F.col(t) * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + F.col(t) * (F.col("y2") - F.col("y1"))).alias("y"))
-    size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * (F.col("_t.t1") - F.col("_t.t0"))
-    rows = F.sort_array(F.collect_list(F.struct("seg", place("_t.t0").alias("a"), place("_t.t1").alias("b"))))
-    return numbered.groupBy(key, "fragment").agg(rows.alias("_r"), F.sum(size).alias("length")).select(key, "fragment", F.concat(F.array(F.element_at("_r", 1)["a"]), F.transform("_r", lambda r: r["b"])).alias("line"), "length")
+    return _joined(segs.withColumn("_t", cut).where("_t is not null and _t.t0 < _t.t1"), key)
+
+
+def outside_circle(segs: DataFrame, key: str, x: float, y: float, radius: float) -> DataFrame:
+    """key, fragment, line, length: the stretches of each line outside a circle; a segment that goes through it gives two."""
+    dx, dy, fx, fy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("x1") - x, F.col("y1") - y
+    a, b, c = dx * dx + dy * dy, 2 * (dx * fx + dy * fy), fx * fx + fy * fy - radius * radius
+    under = b * b - 4 * a * c
+    root = F.sqrt(F.greatest(under, F.lit(0.0)))
+    low, high = (-b - root) / (2 * a), (-b + root) / (2 * a)
+    piece = lambda t0, t1: F.struct(t0.alias("t0"), t1.alias("t1"))
+    whole = (under <= 0) | (high <= 0) | (low >= 1)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    cut = F.when(whole, F.array(piece(zero, one))).otherwise(F.filter(F.array(piece(zero, F.greatest(low, zero)), piece(F.least(high, one), one)), lambda p: p["t0"] < p["t1"]))
+    return _joined(segs.where("x1 != x2 or y1 != y2").withColumn("_t", F.explode(cut)), key)
 
 
 def clip_features(rows: DataFrame, box: tuple[float, float, float, float], geom: str = "geom") -> DataFrame:

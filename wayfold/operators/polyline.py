@@ -74,3 +74,16 @@ def prefixes(segs: DataFrame, key: str, progress: Column | float, part: str | No
     share = progress if isinstance(progress, Column) else F.lit(float(progress))
     cuts = segs.groupBy(key).agg(F.max("to").alias("_n")).select(key, F.lit(0.0).alias("lo"), F.when(share >= 1, F.col("_n")).otherwise(F.col("_n") * share).alias("hi"))
     return substrings(segs, cuts, key, [], part)
+
+
+def tangents(places: DataFrame, segs: DataFrame, key: str, at: str, ids: list[str], step: float) -> DataFrame:
+    """key, ids, ``at``, dx, dy: the direction of a line around a running length, between two places half a step before and behind it.
+
+    The half is held between 0.5 and half the line, and both places to the line, so a direction near an end is that of the end.
+    """
+    size = segs.groupBy(key).agg(F.max("to").alias("_n"))
+    half = F.least(F.lit(max(step / 2, 0.5)), F.greatest(F.col("_n") / 2, F.lit(0.5)))
+    both = places.join(size, key).select(key, *ids, at, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.greatest(F.lit(0.0), F.col(at) - half).alias("p")), F.struct(F.lit(1).alias("side"), F.least(F.col("_n"), F.col(at) + half).alias("p")))).alias("_e")).select(key, *ids, F.col(at).alias("_at"), "_e.side", F.col("_e.p").alias("_p"))
+    spots = points_at(both, segs, key, "_p", [*ids, "_at", "side"])
+    pick = lambda c, k: F.max(F.when(F.col("side") == k, F.col(c)))
+    return spots.groupBy(*dict.fromkeys([key, *ids]), F.col("_at").alias(at)).agg((pick("px", 1) - pick("px", 0)).alias("dx"), (pick("py", 1) - pick("py", 0)).alias("dy"))

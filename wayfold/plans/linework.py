@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from wayfold.functions import geometry as g
 from wayfold.functions import polygons
 from wayfold.operators import clip, islands, labels, noding, polyline, topology
+from wayfold.model import GEOMETRY, LINE
 from wayfold.plans import kernels
 from wayfold.plans.tables import POINTS, SEGMENTS, points, segments
+from wayfold.sources import features
 
 BOX = (100.0, 100.0, 600.0, 400.0)
 SCREEN = (800.0, 800.0)
+CIRCLE = (360.0, 245.0, 150.0)
 PIECE, TOLERANCE = 5, 0.25
 
 
@@ -85,6 +88,32 @@ def line_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first_last(clip.fragments(segments(spark, sf_dir), "user_id", BOX))
 
 
+def circle_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of each polyline outside a circle, with their geometry."""
+    return _first_last(clip.outside_circle(segments(spark, sf_dir), "user_id", *CIRCLE))
+
+
+def local_tangent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction of each polyline around places at every fortieth, over a window of twenty."""
+    segs = segments(spark, sf_dir)
+    places = segs.groupBy("user_id").agg(F.max("to").alias("n")).select("user_id", "n", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("k")).select("user_id", "k", (F.col("n") * F.col("k") / 40).alias("at"))
+    return polyline.tangents(places, segs, "user_id", "at", ["k"], 20.0).select("user_id", "k", F.round("dx", 4).alias("dx"), F.round("dy", 4).alias("dy"))
+
+
+def ring_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle of each ring by area, with its signed area."""
+    r = _rings(spark, sf_dir).where(F.abs(g.signed_area(F.col("ring"))) > 1.0)
+    return r.withColumn("c", g.ring_centroid(F.col("ring"))).select("user_id", F.round("c.x", 4).alias("x"), F.round("c.y", 4).alias("y"), F.round(g.signed_area(F.col("ring")), 3).alias("area"))
+
+
+def box_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose bounds meet a box, and how many have no geometry or no vertex."""
+    lines = _pieces(spark, sf_dir)
+    polys = F.when(F.col("line_id") % 7 == 1, F.expr(f"cast(array() as array<array<{LINE}>>)")).otherwise(F.array(F.array("line")))
+    geom = F.when(F.col("line_id") % 5 != 0, F.struct(F.lit("LineString").alias("gtype"), polys.alias("polys")).cast(GEOMETRY))
+    return features.meeting_box(lines.select("line_id", geom.alias("geom")), BOX)[1]
+
+
 def label_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point inside each ring for its label."""
     found = _rings(spark, sf_dir).withColumn("p", polygons.interior_point(F.array("ring")))
@@ -169,6 +198,10 @@ QUERIES = {
         rectangle_union,
         polygon_clip,
         line_clip,
+        circle_difference,
+        local_tangent,
+        ring_middle,
+        box_scan,
         label_point,
         label_anchors,
         label_places,
@@ -276,4 +309,31 @@ judged AS (
 scored AS (SELECT *, round(straightness + 0.08 * (1 - abs(fraction - 0.5) * 2), 9) AS score FROM judged WHERE x - w / 2 >= 0 AND x + w / 2 <= {SCREEN[0]} AND y - h / 2 >= 0 AND y + h / 2 <= {SCREEN[1] * 0.65})
 SELECT user_id, fraction, round(x, 4) AS x, round(y, 4) AS y, round(degrees(a), 4) AS bearing, round(straightness, 4) AS straightness, round(score, 4) AS score,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, rank) - 1 AS INTEGER) AS anchor FROM scored""",
+    "circle_difference": f"""WITH {SEGMENTS},
+q AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy, size * size AS a, 2 * ((x2 - x1) * (x1 - {CIRCLE[0]}) + (y2 - y1) * (y1 - {CIRCLE[1]})) AS b, (x1 - {CIRCLE[0]}) ** 2 + (y1 - {CIRCLE[1]}) ** 2 - {CIRCLE[2]} ** 2 AS c FROM segs WHERE size > 0),
+t AS (SELECT *, b * b - 4 * a * c AS under, (-b - sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a) AS lo, (-b + sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a) AS hi FROM q),
+p AS (
+  SELECT user_id, seg, x1, y1, dx, dy, size, 0.0 AS t0, 1.0 AS t1 FROM t WHERE under <= 0 OR hi <= 0 OR lo >= 1
+  UNION ALL SELECT user_id, seg, x1, y1, dx, dy, size, 0.0, lo FROM t WHERE NOT (under <= 0 OR hi <= 0 OR lo >= 1) AND lo > 0
+  UNION ALL SELECT user_id, seg, x1, y1, dx, dy, size, hi, 1.0 FROM t WHERE NOT (under <= 0 OR hi <= 0 OR lo >= 1) AND hi < 1),
+n AS (SELECT *, CASE WHEN t0 = 0 AND lag(t1) OVER w = 1 AND lag(seg) OVER w = seg - 1 THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY user_id ORDER BY seg, t0)),
+cut AS (
+  SELECT user_id, seg + t0 / 2 AS seg, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY seg, t0) - 1 AS BIGINT) AS fragment, x1 + t0 * dx AS ax, y1 + t0 * dy AS ay, x1 + t1 * dx AS bx, y1 + t1 * dy AS by_, size * (t1 - t0) AS length FROM n)
+{_shown("cut", "user_id, fragment")}""",
+    "local_tangent": f"""WITH {SEGMENTS},
+z AS (SELECT user_id, max("to") AS n, max(seg) AS last FROM segs GROUP BY user_id),
+e AS (SELECT user_id, k, side, last, CASE side WHEN 0 THEN greatest(0.0, n * k / 40 - h) ELSE least(n, n * k / 40 + h) END AS spot FROM (SELECT *, least(10.0, greatest(n / 2, 0.5)) AS h FROM z), generate_series(0, 40) AS t(k), generate_series(0, 1) AS u(side)),
+s AS (
+  SELECT e.user_id, k, side, s.seg, x1, y1, x2, y2, CASE WHEN size > 0 THEN greatest(0.0, least(1.0, (spot - "from") / size)) ELSE 0.0 END AS t
+  FROM e JOIN segs s ON s.user_id = e.user_id AND (spot >= s."from" OR s.seg = 0) AND (spot <= s."to" OR s.seg = last)),
+q AS (SELECT user_id, k, side, arg_min(x1 + t * (x2 - x1), seg) AS x, arg_min(y1 + t * (y2 - y1), seg) AS y FROM s GROUP BY ALL)
+SELECT user_id, CAST(k AS INTEGER) AS k, round(max(x) FILTER (side = 1) - max(x) FILTER (side = 0), 4) AS dx, round(max(y) FILTER (side = 1) - max(y) FILTER (side = 0), 4) AS dy FROM q GROUP BY user_id, k""",
+    "ring_middle": f"""WITH {POINTS},
+e AS (SELECT user_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny, count(*) OVER (PARTITION BY user_id) AS n FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+a AS (SELECT user_id, sum(x * ny - nx * y) / 2 AS area, sum((x + nx) * (x * ny - nx * y)) AS cx, sum((y + ny) * (x * ny - nx * y)) AS cy FROM e WHERE n > 2 GROUP BY user_id)
+SELECT user_id, round(cx / (6 * area), 4) AS x, round(cy / (6 * area), 4) AS y, round(area, 3) AS area FROM a WHERE abs(area) > 1""",
+    "box_scan": f"""WITH {_PIECES},
+b AS (SELECT id, min(x) AS w, min(y) AS s, max(x) AS e, max(y) AS n FROM ordered WHERE n > 1 GROUP BY id)
+SELECT count(*) AS n_total, count(*) FILTER (id % 5 = 0) AS n_without_geometry, count(*) FILTER (id % 5 != 0 AND id % 7 = 1) AS n_without_bounds,
+  count(*) FILTER (id % 5 != 0 AND id % 7 != 1 AND w <= {BOX[2]} AND e >= {BOX[0]} AND s <= {BOX[3]} AND n >= {BOX[1]}) AS n_kept FROM b""",
 }

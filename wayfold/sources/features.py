@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.functions import geometry as g
 from wayfold.functions import text as t
 from wayfold.model import GEOMETRY, LINE
 
@@ -108,3 +109,13 @@ def geojson_lines(rows: DataFrame) -> DataFrame:
 def merge_by_identity(older: DataFrame, newer: DataFrame, keys: list[str]) -> DataFrame:
     """Both, where a row of the newer replaces the older one of its key."""
     return older.join(newer.select(*keys).distinct(), keys, "left_anti").unionByName(newer, allowMissingColumns=True)
+
+
+def meeting_box(rows: DataFrame, box: tuple[float, float, float, float], geom: str = "geom") -> tuple[DataFrame, DataFrame]:
+    """The features whose bounds meet a box, whole; and a row with n_total, n_without_geometry, n_without_bounds (geometries without a vertex), n_kept."""
+    b = g.bounds(vertices(F.col(f"`{geom}`")))
+    w, s, e, n = box
+    inside = F.coalesce((b["w"] <= e) & (b["e"] >= w) & (b["s"] <= n) & (b["n"] >= s), F.lit(False))
+    none = F.col(f"`{geom}`").isNull()
+    counts = rows.agg(F.count("*").alias("n_total"), F.count_if(none).alias("n_without_geometry"), F.count_if(~none & b.isNull()).alias("n_without_bounds"), F.count_if(inside).alias("n_kept"))
+    return rows.where(inside), counts
