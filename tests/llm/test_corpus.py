@@ -391,7 +391,7 @@ def test_a_passage_is_found_at_every_offset_of_unpunctuated_text(spark, document
 
 
 def test_queries_are_named_by_number():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE) <= set(QUERIES)
 
 
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, documents, tmp_path):

@@ -45,7 +45,7 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     def rows_of(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs_) in held.items():
             size = len(n)
-            columns = [pa.array([lang], pa.string()).take(pa.array([0] * size)), pa.array([source], pa.string()).take(pa.array([0] * size)), pa.array(list(n), pa.binary()).cast(pa.string())]
+            columns = [pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()), pa.array(list(n), pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(list(n.values()), pa.int64()), pa.array([docs_[t] for t in n], pa.int64())], ["lang", "source", "term", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

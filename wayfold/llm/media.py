@@ -239,7 +239,8 @@ def tracks(raw: bytes | None) -> tuple[str | None, list[dict]]:
         found = [(b, e) for kind, b, e in top if kind == b"moov"]
         if len(found) != 1:
             return "a file with no movie box, or several", []
-        return None, [track(raw, b, e) for kind, b, e in boxes(raw, *found[0]) if kind == b"trak"]
+        read = [track(raw, b, e) for kind, b, e in boxes(raw, *found[0]) if kind == b"trak"]
+        return (None if read else "a movie without tracks"), read
     except Broken as error:
         return str(error), []
 
