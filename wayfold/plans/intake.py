@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import clouds, style, wkb
 from wayfold.functions import geometry as g
 from wayfold.model import GEOMETRY
+from wayfold.operators.components import cut
 from wayfold.plans.tables import POINTS, points, table
 from wayfold.session import ship
 from wayfold.sources import downloads, osmpbf, shapefile
@@ -42,7 +43,7 @@ def pbf_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pbf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: features with a tag out of compressed blocks, the positions of nodes and the lines of ways joined in."""
-    blocks = osmpbf.encode(_elements(spark, sf_dir))
+    blocks = cut(osmpbf.encode(_elements(spark, sf_dir)))  # read four times below
     positions = osmpbf.decode(blocks, kinds=("node",)).select("element_id", "lon", "lat")
     ways = osmpbf.decode(blocks, kinds=("way",)).select("element_id", "refs")
     chosen = osmpbf.decode(blocks, tag="railway").unionByName(osmpbf.decode(blocks, tag="route"))
