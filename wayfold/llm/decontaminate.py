@@ -1,28 +1,32 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of ASCII letters and digits and of anything beyond ASCII.  The test items' runs of ``GRAM`` words
-are counted over the corpus (in how many documents each occurs).  A run is rare if it is in at most ``SPREAD`` times as many documents as the median of the item's
-runs that occur at all, so an item that was copied a million times keeps its seeds.  A rare run is a seed by itself; a common phrase seeds
-only together with ``COMPANY`` runs of the item in one stretch, so that an edited copy is found however often it was spread.  Wherever a document has a seed,
-the stretch of text around it that could hold the item is aligned with the
+Words are lower-cased runs of ASCII letters and digits and of anything beyond ASCII.  A document's stretch is aligned with an
 item by Smith-Waterman over words (``MATCH``, ``MISMATCH``, ``GAP``).  The score is the best local alignment over that of the
 item with itself, 0 to 1, so edited, cut and paraphrased copies score by what is left of the item.  A pair with ``MIN_SCORE`` or more
 is a leak.
 
+N-grams are pairs of words, next to each other or with one word between.  If an alignment scores s of an item of m words, then at most
+2 (M - s m) words are edited besides its M matches, so of the M - 1 steps from match to match at least s m - 1 have one edit or none
+(``links``), and each of these is an n-gram that both have.  An item has m - 1 places where n-grams start.  They are ranked by the number of
+documents that have them; the rarest are the item's seeds, as many that at least ``SEEDS`` (all, if fewer are due) are among any ``links`` of them.
+So a stretch that scores enough has that many seeds, and no two matches of it drift apart by more than 2 (1 - s) m words (``drift``).  Where a document has
+them so close, its links are counted, and with enough of them it is aligned.  No pair is lost for its kind of edits, and an item that
+was copied a million times keeps its seeds, which are rare among its own.
+
 Documents are read twice and never shuffled: the items are the stated query set, sent to all tasks in blocks of
 ``BLOCK_WORDS`` words at most, one pass over the documents a block.  Counts of seeds are summed on the executors; what comes
-back is a number a run of the block.
+back is a number an n-gram of the block.
 
-Items under ``GRAM`` words match nothing, as their words alone tell no copy from common speech; nor do null and empty texts.  Items with
-a null id are left out, as a pair could not name them.  Items with equal texts are reported each; repeated rows of documents give repeated rows.
+Items under ``GRAM`` words match nothing, as their words alone tell no copy from common speech, and items under twice that need as many links as a run
+of ``GRAM`` words has; nor do null and empty texts match.  Items with a null id are left out, as a pair could not name them.  Items with equal texts are reported each; repeated rows of documents give repeated rows.
 A stretch of any length is aligned whole, in overlapping windows of ``WINDOW`` words and three times the item's, so memory doesn't follow the text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
@@ -33,8 +37,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import id_and_text, plain_names, ship
 
 GRAM = 4
-SPREAD = 8
-COMPANY = 3
+SEEDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 BLOCK_WORDS = 1_000_000
@@ -47,9 +50,19 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_BLANK).split()
 
 
+def links(m: int, score: float) -> int:
+    """The number of steps with one edit or none that an alignment of this score has at least, for an item of m words."""
+    return max(math.ceil(score * m - 1 - 1e-9), GRAM - 1)
+
+
+def drift(m: int, score: float) -> int:
+    """How far matches of such an alignment may lie off one another's diagonals at most."""
+    return math.floor(2 * (1 - score) * m + 1e-9)
+
+
 @dataclass
 class Block:
-    """A block of items: words by number, each item's words, and the runs as sorted keys with the places they have in items."""
+    """A block of items: words by number, each item's words, and the n-grams as sorted keys with the places they have in items."""
 
     items: list[int]
     vocabulary: dict[bytes, int]
@@ -59,104 +72,123 @@ class Block:
     first: np.ndarray
     item_at: np.ndarray
     offset_at: np.ndarray
-    rare_at: np.ndarray
+    held: dict[float, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
     def of(rows: list[tuple[int, list[bytes]]]) -> Block:
         vocabulary: dict[bytes, int] = {}
         words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in x], np.int64) for _, x in rows]
-        grams = [_keys(w) for w in words]
-        every = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
-        offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
+        some = [k for k, w in enumerate(words) if len(w) >= GRAM]
+        every = np.concatenate([np.zeros(0, np.int64), *(_pairs(words[k], step, len(vocabulary)) for k in some for step in (1, 2))])
+        sizes = [len(words[k]) - step for k in some for step in (1, 2)]
+        item = np.repeat(np.repeat(np.array(some, np.int64), 2), sizes)
+        offset = np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)])
         order = np.argsort(every, kind="stable")
         keys, first = np.unique(every[order], return_index=True)
-        return Block([i for i, _ in rows], vocabulary, words, keys, np.append(first, len(every)), item[order], offset[order], np.ones(len(every), bool))
-
-    def runs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the block's runs occur in a document, and their keys' numbers."""
-        known = ids >= 0
-        at = np.flatnonzero(reduce(np.logical_and, [known[k : len(ids) - GRAM + 1 + k] for k in range(GRAM)])) if len(ids) >= GRAM else np.zeros(0, np.int64)
-        if not len(at) or not len(self.keys):
-            return at[:0], at[:0]
-        keys = _mix([ids[at + k] for k in range(GRAM)])
-        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        same = self.keys[k] == keys
-        return at[same], k[same]
+        return Block([i for i, _ in rows], vocabulary, words, keys, np.append(first, len(every)), item[order], offset[order])
+
+    def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the block's n-grams start in a document, and their keys' numbers."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for step in (1, 2) if len(self.keys) else ():
+            at = np.flatnonzero((ids[:-step] >= 0) & (ids[step:] >= 0))
+            keys = ids[at] * len(self.vocabulary) + ids[at + step]
+            k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            same = self.keys[k] == keys
+            found.append((at[same], k[same]))
+        at, key = zip(*found, strict=True)
+        return np.concatenate(at), np.concatenate(key)
 
     def numbers(self, text: str | None) -> np.ndarray:
         """A document's words by number, -1 for words that no item has."""
         words = words_of(text)
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
-    def rated(self, df: np.ndarray) -> Block:
-        """The block with the runs that occur, rare and common ones told apart, given the number of documents of each key."""
+    def seeds(self, df: np.ndarray, min_score: float) -> Block:
+        """The block with each item's rarest n-grams only, given the number of documents of each key."""
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        base = np.cumsum(sizes) - sizes
         each = np.repeat(df, np.diff(self.first))
-        order = np.lexsort((each, self.item_at))
-        order = order[each[order] > 0]
-        item, n = self.item_at[order], each[order]
-        start = np.searchsorted(item, np.arange(len(self.items)))
-        size = np.searchsorted(item, np.arange(len(self.items)), "right") - start
-        median = np.zeros(len(self.items))
-        median[size > 0] = n[start[size > 0] + (size[size > 0] - 1) // 2]
-        keep = each > 0
-        used, first = np.unique(np.repeat(np.arange(len(self.keys)), np.diff(self.first))[keep], return_index=True)
-        rare = each[keep] <= SPREAD * median[self.item_at[keep]]
-        return Block(self.items, self.vocabulary, self.words, self.keys[used], np.append(first, keep.sum()), self.item_at[keep], self.offset_at[keep], rare)
-
-    def leaks(self, text: str | None, min_score: float) -> list[tuple[int, float, int, int]]:
-        """Item, score, first word and end of the best alignment of each item that a text leaks."""
-        ids = self.numbers(text)
-        at, key = self.runs(ids)
-        if not len(at):
-            return []
+        slot = base[self.item_at] + self.offset_at
+        n = np.bincount(slot, each, sizes.sum())
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        n[base[sizes > 0] + sizes[sizes > 0] - 1] = np.inf  # no n-gram starts at the last word
+        rank = np.empty(len(n), np.int64)
+        rank[np.lexsort((n, owner))] = np.arange(len(n))
+        due = np.array([links(m, min_score) for m in sizes.tolist()], np.int64)
+        rare = (rank - base[owner] < (sizes - 1 - due + np.minimum(due, SEEDS))[owner])[slot] & (each > 0)
+        used, first = np.unique(np.repeat(np.arange(len(self.keys)), np.diff(self.first))[rare], return_index=True)
+        return Block(self.items, self.vocabulary, self.words, self.keys[used], np.append(first, rare.sum()), self.item_at[rare], self.offset_at[rare])
+
+    def limits(self, min_score: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each item the seeds that a leak has at least, and how far they may drift."""
+        if min_score not in self.held:
+            self.held[min_score] = self._limits(min_score)
+        return self.held[min_score]
+
+    def _limits(self, min_score: float) -> tuple[np.ndarray, np.ndarray]:
+        sizes = [len(w) for w in self.words]
+        return np.array([min(links(m, min_score), SEEDS) for m in sizes], np.int64), np.array([drift(m, min_score) for m in sizes], np.int64)
+
+    def stretches(self, ids: np.ndarray, min_score: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Items and the places where they would start, by the seeds that a document has close enough, in their order."""
+        at, key = self.grams(ids)
         count = self.first[key + 1] - self.first[key]
         place = np.repeat(self.first[key], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        item, offset, rare = self.item_at[place], self.offset_at[place], self.rare_at[place]
-        start = np.repeat(at, count) - offset
+        item, start = self.item_at[place], np.repeat(at, count) - self.offset_at[place]
         order = np.lexsort((start, item))
-        item, offset, rare, start = item[order], offset[order], rare[order], start[order]
-        found = []
-        for one, begin, end in zip(*_groups(item), strict=True):
-            if not rare[begin:end].any() and end - begin < COMPANY:
-                continue
-            words, starts = self.words[one], start[begin:end].tolist()
+        item, start = item[order], start[order]
+        due, far = self.limits(min_score)
+        due, far = due[item], far[item]
+        begin = np.flatnonzero(np.arange(len(item)) + due <= len(item))
+        end = begin + due[begin] - 1
+        close = (item[end] == item[begin]) & (start[end] - start[begin] <= far[begin])
+        if not close.any():
+            return
+        inside = np.zeros(len(item) + 1, np.int64)
+        np.add.at(inside, begin[close], 1)
+        np.add.at(inside, end[close] + 1, -1)
+        kept = np.flatnonzero(np.cumsum(inside)[:-1])
+        item, start, far = item[kept], start[kept], far[kept]
+        cuts = np.flatnonzero((item[1:] != item[:-1]) | (start[1:] - start[:-1] > far[1:])) + 1
+        for one in np.split(np.arange(len(item)), cuts) if len(item) else ():
+            yield int(item[one[0]]), start[one]
+
+    def leaks(self, text: str | None, min_score: float) -> list[tuple[int, float, int, int]]:
+        """Item, score, first word and end of the best alignment of each item that a text leaks, of equal ones the first."""
+        ids = self.numbers(text)
+        best: dict[int, tuple[float, int, int]] = {}
+        for one, starts in self.stretches(ids, min_score):
+            words = self.words[one]
             m = len(words)
-            exact = [s for s in dict.fromkeys(starts) if s >= 0 and np.array_equal(ids[s : s + m], words)]
-            best = (1.0, exact[0], exact[0] + m) if exact else (0.0, 0, 0)
-            slack = m // 2 + 8
-            first = 0
-            for k in range(0 if exact else 1, 0 if exact else len(starts) + 1):
-                if k < len(starts) and starts[k] - starts[k - 1] <= m + 2 * slack:
-                    continue
-                stretch = slice(begin + first, begin + k)
-                if rare[stretch].any() or len(np.unique(offset[stretch])) >= COMPANY:
-                    lo, hi = max(0, starts[first] - slack), starts[k - 1] + m + slack
-                    score, a, b = align_windows(words, ids[lo:hi])
-                    best = max(best, (score, a + lo, b + lo), key=lambda x: x[0])
-                first = k
-            if best[0] >= min_score:
-                found.append((self.items[one], *best))
-        return found
-
-
-def _groups(item: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    """The values of a sorted array, and where each starts and ends."""
-    values, first = np.unique(item, return_index=True)
-    return values.tolist(), first.tolist(), [*first[1:].tolist(), len(item)]
-
-
-def _mix(columns: list[np.ndarray]) -> np.ndarray:
-    key = np.zeros(len(columns[0]), np.uint64)
-    for c in columns:
-        key = (key ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(31)
-    return key
-
-
-def _keys(words: np.ndarray) -> np.ndarray:
-    n = len(words) - GRAM + 1
-    return _mix([words[k : k + n] for k in range(GRAM)]) if n > 0 else np.zeros(0, np.uint64)
+            if one in best and best[one][0] == 1.0:
+                continue
+            exact = next((s for s in dict.fromkeys(starts.tolist()) if s >= 0 and np.array_equal(ids[s : s + m], words)), None)
+            if exact is not None:
+                best[one] = (1.0, exact, exact + m)
+                continue
+            lo = max(0, int(starts[0]) - drift(m, min_score))
+            near = ids[lo : int(starts[-1]) + m + drift(m, min_score)]
+            if len(near) <= WINDOW and linked(words, near) < links(m, min_score):
+                continue
+            score, a, b = align_windows(words, near)
+            if score >= min_score and score > best.get(one, (0.0,))[0]:
+                best[one] = (score, a + lo, b + lo)
+        return [(self.items[one], *x) for one, x in best.items()]
+
+
+def linked(item: np.ndarray, text: np.ndarray) -> int:
+    """At how many of its words an item has an n-gram of the text, whichever of the two has a word between."""
+    same = text[:, None] == item[None, :]
+    some = np.zeros(len(item), bool)
+    for down in (1, 2):
+        for over in (1, 2):
+            some[:-over] |= (same[:-down, :-over] & same[down:, over:]).any(0)
+    return int(some.sum())
+
+
+def _pairs(words: np.ndarray, step: int, size: int) -> np.ndarray:
+    return words[:-step] * size + words[step:]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
@@ -213,22 +245,22 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Ite
         yield Block.of(rows)
 
 
-def _seeded(rows: DataFrame, block: Block) -> Block:
-    """The block with its runs counted over the corpus."""
+def _seeded(rows: DataFrame, block: Block, min_score: float) -> Block:
+    """The block with the seeds that counts over the corpus give."""
     sent = rows.sparkSession.sparkContext.broadcast(block)  # BLOCK_WORDS words at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(sent.value.keys), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                df[np.unique(sent.value.runs(sent.value.numbers(text.as_py()))[1])] += 1
+                df[np.unique(sent.value.grams(sent.value.numbers(text.as_py()))[1])] += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["key", "n"])
 
     df = np.zeros(len(block.keys), np.int64)
     counted = rows.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     df[counted["key"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    return block.rated(df)
+    return block.seeds(df, min_score)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -238,7 +270,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = id_and_text(docs, id_col, text_col)
     out = spark.createDataFrame([], SCHEMA)
     for k, block in enumerate(blocks(benchmark, item_col, item_text_col, block_words)):
-        sent = spark.sparkContext.broadcast(_seeded(rows, block))
+        sent = spark.sparkContext.broadcast(_seeded(rows, block, min_score))
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -257,7 +289,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
     for block in blocks(benchmark, item_col, item_text_col, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(_seeded(docs.select(F.col(text_col).cast("string").alias("text")), block))
+        sent = docs.sparkSession.sparkContext.broadcast(_seeded(docs.select(F.col(text_col).cast("string").alias("text")), block, min_score))
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
