@@ -1,6 +1,7 @@
 """Operators over a corpus, against brute force on small tables."""
 
 import random
+from collections import Counter
 
 import pytest
 import xxhash
@@ -132,13 +133,18 @@ def test_tree_links_equal_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(simhash, "SHARD", shard)
     fps = close_groups(random.Random(8), 400)
     signed = [f - (1 << 64) if f >> 63 else f for f in set(fps)]
+    class_of = brute_components(set(fps))
+    sizes = Counter(class_of.values())
+    near = {f for f, c in class_of.items() if sizes[c] > 1}
+    going = {r["fp"] % (1 << 64) for r in simhash.crowded(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    assert near <= going and len(going) < len(class_of) - 100  # most that are alone go no further
     found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))
     whole = simhash.connected_components(found, "fp", "root").collect()
     got = {}
     for r in whole:
         got.setdefault(r["component"], set()).add(r["node"] % (1 << 64))
     expected = {}
-    for f, c in brute_components(set(fps)).items():
+    for f, c in class_of.items():
         expected.setdefault(c, set()).add(f)
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in expected.values() if len(v) > 1)
 
@@ -448,3 +454,13 @@ def test_odd_names_pass_through_every_operator_that_keeps_rows(spark):
         kept = out.collect()
         assert kept and all(r["a.b"] == "x" and r["text.of"] == 7 and r["doc_id."] == "x" for r in kept)
     assert language_id.identify(docs, model).columns == ["doc_id", "lang_pred", "score", "rejected"]
+
+
+def test_a_dense_ball_of_fingerprints_is_linked(spark):
+    """Every fingerprint within two bits of one centre, and some far ones: all blocks are shared, and the ball is one component."""
+    centre = 0x0123456789ABCDEF
+    ball = {centre ^ (1 << a) ^ (1 << b if b != a else 0) for a in range(64) for b in range(a, 64)} | {centre}
+    far = [random.Random(k).getrandbits(64) for k in range(50)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in [*ball, *far]]
+    found = simhash.connected_components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")), "fp", "root").collect()
+    assert {r["node"] % (1 << 64) for r in found} == ball and len({r["component"] for r in found}) == 1

@@ -5,7 +5,8 @@ are fewer) is hashed by XXH64 with seed 42; a bit is set if more than half of th
 or null, has fingerprint 0, which links like any other.  Fingerprints link at ``RADIUS`` differing bits or fewer, and a
 component's id is the smallest document id in it.
 
-Links between distinct fingerprints: a tree of vantage points is built on the driver from a sample of bounded size.
+Links between distinct fingerprints: two that differ by ``RADIUS`` bits agree in all but so many of ``RADIUS`` + 3 blocks of bits, so
+a fingerprint that has no three blocks in common with another one has no link, and only the others go on.  A tree of vantage points is built on the driver from a sample of bounded size.
 Every node has a fingerprint and a median distance; a fingerprint goes home to the inner or outer side.  A pair on
 both sides of a node must have the outer one within ``median + RADIUS`` of the vantage point (triangle inequality), so only
 those are also sent to the inner shard, as queries; further down, a query follows every side that the bound leaves open.
@@ -31,6 +32,8 @@ smallest id (then the least hash of its text) stays, null ids last, and of rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -181,9 +184,23 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     label[:] = to[label]
 
 
+def crowded(distinct: DataFrame) -> DataFrame:
+    """The distinct fingerprints that have three blocks of bits in common with another; no other one has a link.
+
+    Three blocks are 37 bits or more: of n random fingerprints a share of some n / 2**35 goes on.  Keys are hashed, which lets more go on and never fewer.
+    """
+    bits = [sum(1 << b for b in part.tolist()) for part in np.array_split(np.arange(64), RADIUS + 3)]
+    masks = [reduce(int.__or__, three) for three in combinations(bits, 3)]
+    keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(int(np.uint64(m).view(np.int64))))) for k, m in enumerate(masks)]
+    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("key")
+    return keyed.join(shared, "key", "left_semi").select("fp").distinct()
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """fp, root: for each fingerprint that a shard links, the smallest that this shard connects it to."""
     spark = distinct.sparkSession
+    distinct = cut(crowded(distinct))
     n = distinct.count()
     depth = 0
     while depth < DEPTH and n > SHARD * 2**depth:
