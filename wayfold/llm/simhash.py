@@ -187,7 +187,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def crowded(distinct: DataFrame) -> DataFrame:
     """The distinct fingerprints that have three blocks of bits in common with another; no other one has a link.
 
-    Three blocks are 37 bits or more: of n random fingerprints a share of some n / 2**35 goes on.  Keys are hashed, which lets more go on and never fewer.
+    Three blocks are 38 bits or more: of n random fingerprints a share of some n / 2**35 goes on.  Keys are hashed, which lets more go on and never fewer.
     """
     bits = [sum(1 << b for b in part.tolist()) for part in np.array_split(np.arange(64), RADIUS + 3)]
     masks = [reduce(int.__or__, three) for three in combinations(bits, 3)]
