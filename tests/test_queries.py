@@ -36,6 +36,15 @@ def test_query_equals_sql(spark, sql, name):
     assert rows(QUERIES[name](spark, FOLDER).toPandas()) == rows(sql.sql(ORACLE[name]).df())
 
 
+def test_quantised_steps_are_products_of_floats(spark, tmp_path):
+    """0.3195 as a float times a thousand is 319.5 as a float, and less as a double."""
+    spark.sql("SELECT 1L AS vec_id, array(cast(0.001 AS float), cast(0.3195 AS float)) AS embedding, 0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["delta_decode"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert rows(found) == rows(con.sql(ORACLE["delta_decode"]).df()) and found["y"][0] == 38.2
+
+
 def between(ax, ay, bx, by):
     """Angle of two directions whichever way they point, in degrees; 90 without length."""
     whole = math.hypot(ax, ay) * math.hypot(bx, by)

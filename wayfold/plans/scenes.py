@@ -150,7 +150,7 @@ def bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arcs of quantised deltas, summed up, scaled and shifted; the end of each arc and its farthest west."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(v * 1000).cast("long")).alias("d"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(v * F.lit(1000).cast("float")).cast("long")).alias("d"))  # an int factor would make doubles of the floats
     steps = F.transform(F.sequence(F.lit(0), (F.size("d") / 2).cast("int") - 1), lambda i: F.struct(F.get("d", i * 2).alias("x"), F.get("d", i * 2 + 1).alias("y")))
     empty = F.expr("cast(array() as array<struct<x: bigint, y: bigint>>)")
     sums = F.aggregate(steps, empty, lambda line, s: F.concat(line, F.array(F.struct((F.coalesce(F.try_element_at(line, F.lit(-1))["x"], F.lit(0)) + s["x"]).alias("x"), (F.coalesce(F.try_element_at(line, F.lit(-1))["y"], F.lit(0)) + s["y"]).alias("y")))))
