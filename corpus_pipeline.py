@@ -6,12 +6,13 @@ shared folder and reads again for the next stage.  All but the last return the c
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfold.llm import decontaminate, language_id, line_dedup, sentence_pieces, simhash
-from wayfold.llm.common import discard, table
+from wayfold.llm.common import discard, release, table
 from wayfold.operators.components import shared_folder
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, at a Jaccard similarity of 0.8 over runs of five words, the document with the smallest id stays."""
-    return simhash.without_near_duplicates(docs, shingle=5, least=0.8)
+    """Of each group of near duplicates the document with the smallest id stays: fingerprints that the tree links, and pairs at a Jaccard similarity of 0.8 or more, over runs of five words."""
+    return simhash.without_near_duplicates(docs, shingle=5, least=0.8, both=True)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,4 +62,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             discard(spark, before)  # the last stage's files are the result
         before = path
+        _tidy(spark)
     return docs
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Drop what a stage has left on the driver: its filters, its plans and what its model was fitted on."""
+    gc.collect()
+    release()
+    spark._jvm.System.gc()

@@ -196,6 +196,18 @@ def test_the_pipeline_drops_near_copies_beyond_two_bits(spark, documents):
     assert sorted(r["doc_id"] for r in kept) == [1, 3]
 
 
+def test_the_pipeline_drops_what_fingerprints_link(spark, documents):
+    """A stretch that repeats decides the fingerprint, while most of the two sets differs."""
+    stretch = " ".join(f"s{k}" for k in range(7)) + " "
+    a, b = (stretch * 60 + " ".join(f"{c}{k}" for k in range(12)) for c in "ab")
+    assert (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() <= 2
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in (a, b)]
+    assert len(sets[0] & sets[1]) < 0.5 * len(sets[0] | sets[1])
+    other = " ".join(f"o{k}" for k in range(40))
+    kept = corpus_pipeline.dedup_near(spark, documents([(4, b), (1, a), (2, other), (3, other.upper())]), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2]
+
+
 def plain_alignment(item, text):
     best, h = 0, [[0] * (len(text) + 1) for _ in range(len(item) + 1)]
     for i, a in enumerate(item, 1):

@@ -23,6 +23,7 @@ All sets of a band are first compared with its smallest; what that links is one
 several classes, sets of different classes are compared, in blocks of ``BLOCK`` sets of a band, by the parity of their shingles in ``PARITY`` buckets: two sets
 have at least as many shingles apart as parities, so a pair that this rules out is never a link, and what it leaves is
 verified on whole sets.  No group of sets is gathered anywhere, and rows grow with sets, not with pairs.
+With ``both``, fingerprints that the tree links are links beside these.
 
 Exact copies are one fingerprint (with ``least``, one set) from the start.  Repeated ids give repeated rows; null ids take part and are
 never the smallest unless alone.  ``without_near_duplicates`` tells rows apart by id and text: of each component the row with the
@@ -358,7 +359,17 @@ def similar(docs: DataFrame, shingle: int, least: float) -> tuple[DataFrame, Dat
     return rows, first.union(verified(across(members.join(facts, "sig"), least), rows, docs, shingle, least))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None) -> DataFrame:
+def by_fingerprint(rows: DataFrame) -> DataFrame:
+    """a, b: links of sets through their fingerprints, each set to the smallest of its fingerprint and that one to the fingerprint's root."""
+    known = rows.select("fp", "sig").distinct()
+    first = cut(known.groupBy("fp").agg(F.min("sig").alias("first"), F.max("sig").alias("last")))
+    shared = first.where("first != last").select("fp", "first")
+    near = cut(links(first.select("fp")).where("fp != root").distinct())
+    one = near.join(first.select("fp", F.col("first").alias("a")), "fp").join(first.select(F.col("fp").alias("root"), F.col("first").alias("b")), "root")
+    return known.join(shared, "fp").where("sig != first").select(F.col("first").alias("a"), F.col("sig").alias("b")).union(one.select("a", "b"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None, both: bool = False) -> DataFrame:
     """doc_id, row (a hash of the text), fp, and root (a name of the component), of every row."""
     named = rows_and_text(docs, id_col, text_col)
     if least is None:
@@ -366,6 +377,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         edges = links(rows.select("fp").distinct()).toDF("a", "b")
     else:
         rows, edges = similar(named, shingle, least)
+        if both:
+            edges = edges.union(by_fingerprint(rows))
         rows = rows.select("doc_id", "row", "fp", F.col("sig").alias("key"))
     found = connected_components(edges, "a", "b").withColumnRenamed("node", "key")
     return rows.join(found, "key", "left").select("doc_id", "row", "fp", F.coalesce("component", "key").alias("root"))
@@ -379,9 +392,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 @plain_names
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None, both: bool = False) -> DataFrame:
     """The rows of docs, one of each component."""
-    rows = cut(classes(docs, id_col, text_col, shingle, least))
+    rows = cut(classes(docs, id_col, text_col, shingle, least, both))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     # A root with one row alone needs no decision.
     kept = rows.groupBy("root").agg(F.min(place).alias("keep"), F.count("*").alias("size")).where("size > 1")
