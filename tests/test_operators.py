@@ -30,6 +30,27 @@ def test_grid_join_equals_brute_force(spark):
     assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
 
 
+def test_blocks_equal_brute_force(spark, monkeypatch):
+    """Crowded cells in blocks of four: the nearest with its count, and edges with the components of all pairs; no pair goes through a join."""
+    monkeypatch.setattr(grid, "BLOCK", 4)
+    rng = random.Random(8)
+    spots = [(rng.choice([0.0, 0.5, 3.0, 10.0]) + rng.randrange(3), float(rng.randrange(6))) for _ in range(60)]
+    a, b = [(k, *p) for k, p in enumerate(spots[:35])], [(k, *p) for k, p in enumerate(spots[35:])]
+    one, two = spark.createDataFrame(a, "k long, x double, y double"), spark.createDataFrame(b, "o long, ox double, oy double")
+    far = lambda p, q: math.sqrt((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2)
+    near = {p[0]: sorted((far(p, q), q[0]) for q in b if far(p, q) <= 1.5) for p in a}
+    found = {r["k"]: (r["distance"], r["o"], r["n"]) for r in grid.nearest_within(one, two, 1.5, "k", "o").collect()}
+    assert found == {k: (*v[0], len(v)) for k, v in near.items() if v}
+    edges = grid.linked_within(one.withColumn("a", F.concat(F.lit("a"), "k")), two.withColumn("b", F.concat(F.lit("b"), "o")), 1.5, "a", "b")
+    label = {f"a{k}": f"a{k}" for k, v in near.items() if v} | {f"b{o}": f"b{o}" for v in near.values() for _, o in v}
+    for k, v in near.items():
+        for _, o in v:
+            low, high = sorted((label[f"a{k}"], label[f"b{o}"]))
+            label = {n: low if c == high else c for n, c in label.items()}
+    assert {r["node"]: r["component"] for r in connected_components(edges).collect()} == label
+    assert edges.count() <= 35 * 7 * 9 and grid.nearest_within(one.limit(0), two, 1.5, "k", "o").count() == 0
+
+
 def test_segment_join_equals_brute_force(spark):
     rng = random.Random(4)
     p = [(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(200)]
