@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as g
 from wayfold.functions import text as t
-from wayfold.operators import grid, islands, polyline, relations
+from wayfold.operators import dissolve, grid, islands, polyline, relations
 from wayfold.operators.bitmap import KeyFilter
 from wayfold.operators.components import connected_components
-from wayfold.plans import matching
+from wayfold.plans import matching, trajectories
 
 
 def plan(df):
@@ -201,3 +201,21 @@ def test_connect_accepts_one_path_only(spark):
     size = spark.createDataFrame([("m", 12.0), ("n", 11.0), ("z", 5.0), ("y", 5.0), ("a", 5.0)], "atom string, length double")
     found = {r["run"]: (r["decision"], r["path"]) for r in matching.connect(gap, edges, size, most=1).collect()}
     assert found == {1: ("accepted-auto-connector", ["m"]), 2: ("unresolved-ambiguous", None), 3: ("unresolved-no-path", None)}
+
+
+def test_partitions_for_windows_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(islands, "PORTION", 10)
+    rows = spark.range(200).select((F.col("id") % 50).alias("k"), "id")
+    found = islands.dealt(rows, ["k"])
+    assert found.rdd.getNumPartitions() == 21 and found.count() == 200 and islands.dealt(rows.limit(5), ["k"]).rdd.getNumPartitions() == 4
+
+
+def test_masked_samples_need_no_row_a_pair(spark):
+    assert "FlatMapGroupsInPandas" in plan(trajectories.parallel_suppression(spark, "/root/testdata/sf0.001"))
+
+
+def test_areas_far_out_keep_their_digits(spark):
+    x, y = 1e7, 3e7
+    edges = [(1, x, y, x + 0.5, y), (1, x + 0.5, y, x + 0.5, y + 0.25), (1, x + 0.5, y + 0.25, x, y + 0.25), (1, x, y + 0.25, x, y)]
+    found = dissolve.linked(spark.createDataFrame(edges, "k long, ax double, ay double, bx double, by double"), "k", left=True).first()
+    assert found["area"] == 0.125
