@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,6 @@ def boundary(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
 
 def link_rings(edges: list[tuple[tuple[float, float], tuple[float, float]]], left: bool = False) -> list[list[tuple[float, float]]]:
     """Closed rings from directed edges; where several leave a vertex, the one that turns most to the right of the way in is taken, so touching rings stay apart; with ``left``, for rings whose inside is on the left, most to the left."""
-    import math
-
     out: dict = {}
     for a, b in sorted(edges):
         out.setdefault(a, []).append(b)
@@ -64,7 +64,8 @@ def linked(edges: DataFrame, key: str, left: bool = False) -> DataFrame:
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         found = link_rings([((a, b), (c, d)) for a, b, c, d in zip(rows["ax"], rows["ay"], rows["bx"], rows["by"], strict=True)], left)
-        area = sum(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, r[1:], strict=False)) / 2 for r in found)
+        ox, oy = (found[0][0] if found else (0.0, 0.0))  # products of offsets: those of places far out would swallow the last digits
+        area = math.fsum((p[0] - ox) * (q[1] - oy) - (q[0] - ox) * (p[1] - oy) for r in found for p, q in zip(r, r[1:], strict=False)) / 2
         return pd.DataFrame({key: [rows[key].iloc[0]], "rings": [[[{"x": x, "y": y} for x, y in r] for r in found]], "n_rings": [len(found)], "area": [abs(area)]})
 
     ship(edges.sparkSession)
