@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from wayfold.operators import grid
 from wayfold.plans import matching
 
 
@@ -24,3 +25,23 @@ def test_contenders_own_what_all_candidates_own(spark):
     assert few.count() < every.count() / 4 and few.groupBy("part", "sample", "edge").count().where("count > 1").isEmpty()
     cheap = {tuple(r)[:3]: r.m for r in every.groupBy("part", "sample", "class").agg(F.min("cost").alias("m")).collect()}
     assert all(abs(cheap[(r.part, r.sample, r["class"])] - r.cost) < 1e-9 for r in matching.nearest_atoms(s, a).collect())
+
+
+def test_few_segments_are_held_by_every_task(spark, monkeypatch):
+    """The same distances whether tasks hold the segments or search for them, and no search at all where they are few."""
+    rng = random.Random(5)
+    line = lambda k: (k, rng.uniform(-300, 300), rng.uniform(-300, 300), rng.uniform(-300, 300), rng.uniform(-300, 300))
+    ones = spark.createDataFrame([line(k // 4) for k in range(160)], "k long, x1 double, y1 double, x2 double, y2 double")
+    ref = spark.createDataFrame([line(k)[1:] for k in range(5)] + [(float("nan"), 0.0, 1.0, 1.0), (3.0, 4.0, 3.0, 4.0)], "x1 double, y1 double, x2 double, y2 double")
+    spots = ones.select("k", F.hash("x1").alias("n"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    both = lambda: (sorted(map(tuple, grid.segments_within(ones, ref, 40.0, ["k"], []).collect())), sorted(map(tuple, grid.nearest_distance(spots, ref, ["k", "n"], 8.0).collect())))
+    with monkeypatch.context() as m:
+        m.setattr(grid, "FEW", 0)
+        want = both()
+    with monkeypatch.context() as m:
+        m.setattr(grid, "along", None)
+        m.setattr(grid, "_far", None)
+        found = both()
+    for a, b in zip(found, want, strict=True):
+        assert [r[:-1] for r in a] == [r[:-1] for r in b] and a
+        assert all(abs(x[-1] - y[-1]) < 1e-9 for x, y in zip(a, b, strict=True))
