@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wayfold.operators import grid
+from wayfold.operators import grid, lines
 from wayfold.plans import matching
 
 
@@ -45,3 +45,19 @@ def test_few_segments_are_held_by_every_task(spark, monkeypatch):
     for a, b in zip(found, want, strict=True):
         assert [r[:-1] for r in a] == [r[:-1] for r in b] and a
         assert all(abs(x[-1] - y[-1]) < 1e-9 for x, y in zip(a, b, strict=True))
+
+
+def test_merged_lines_of_large_keys_are_those_of_small_ones(spark, monkeypatch):
+    """Chains, rings and a fork under three keys: the same lines whether a key is walked at once or by connected groups, and a task has many keys."""
+    rows, ring = [], [(0.0, 5.0), (1.0, 5.0), (1.0, 6.0)]
+    for k in range(3):
+        rows += [(k, i, [(float(i), 0.0), (float(i + 1), 0.0)][:: 1 if i % 3 else -1]) for i in range(9) if i != 5]
+        rows += [(k, 20 + i, [ring[i - 1], ring[i]]) for i in range(3)]
+        rows += [(k, 30 + i, [(20.0, 0.0), (21.0, float(i))]) for i in range(3)]
+    made = spark.createDataFrame(rows, "key long, id long, line array<struct<x: double, y: double>>")
+    merged = lambda: sorted((r.key, tuple((p.x, p.y) for p in r.line)) for r in lines.merge_lines(made, "key").collect())
+    with monkeypatch.context() as m:
+        m.setattr(lines, "connected_components", None)
+        found = merged()
+    monkeypatch.setattr(lines, "HELD", 2)
+    assert found == merged() and [len(v) for k, v in found if k == 0].count(2) == 3 and len(found) == 18
