@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from wayfold.functions import geometry as g
 from wayfold.operators import grid, lines, relations
+from wayfold.operators.components import connected_components
 from wayfold.plans import matching
 
 
@@ -77,3 +79,26 @@ def test_counted_paths_are_the_walked_ones(spark, monkeypatch):
     monkeypatch.setattr(grid, "grid_distance_join", None)
     found = grid.paths_within(c, s, 2.0, "c", "s").select(F.concat(F.lit("s"), "s"), "n_edges", "n_paths", "n_ends")
     assert sorted(map(tuple, found.collect())) == want and len(want) > 60
+
+
+def test_linked_segments_have_the_components_of_all_pairs(spark, monkeypatch):
+    """Crossing and touching lines, and some that stay alone, in many blocks: a line gives an edge a block at most, not a row for each it meets."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(90):
+        x, y = rng.uniform(0, 300), rng.uniform(0, 60)
+        for _ in range(3):
+            u, v = x + rng.uniform(-12, 12), y + rng.uniform(-12, 12)
+            rows.append((k, x, y, u, v))
+            x, y = u, v
+    rows += [(200, 1000.0, 0.0, 1010.0, 0.0), (201, 1010.005, 0.0, 1020.0, 0.0), (202, 1030.0, 0.0, 1040.0, 0.0)]
+    segs = spark.createDataFrame(rows, "a long, x1 double, y1 double, x2 double, y2 double")
+    other = segs.select(F.col("a").alias("b"), *(F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")))
+    gap = g.segment_segment(tuple(map(F.col, ("x1", "y1", "x2", "y2"))), tuple(map(F.col, ("_x1", "_y1", "_x2", "_y2"))))
+    every = segs.crossJoin(other).where("a < b").where(gap <= 0.01).select("a", "b").distinct()
+    group = lambda edges: sorted(map(tuple, connected_components(edges).collect()))
+    want = group(every)
+    for block in (8192, 5):
+        monkeypatch.setattr(grid, "BLOCK", block)
+        assert group(grid.linked_segments(segs, 0.01, 500.0 if block == 8192 else 9.0)) == want
+    assert len({c for _, c in want}) > 5 and (201, 200) in want and 202 not in dict(want)

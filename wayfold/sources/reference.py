@@ -62,10 +62,7 @@ def components(lines: DataFrame, id_col: str = "id", line: str = "line", touch:
     segs = cut(polyline.line_segments(lines, id_col, line))
     size = segs.agg(F.avg(F.col("to") - F.col("from"))).first()[0] or touch
     ids = segs.select(F.col(id_col).alias("a"), "x1", "y1", "x2", "y2")
-    there = grid.along(ids.withColumnsRenamed({"a": "b"}), touch, max(size / 4, touch)).withColumnsRenamed({c: f"_{c}" for c in ("x1", "y1", "x2", "y2")})
-    here = grid.along(ids, 0.0, max(size / 4, touch))
-    corners = lambda mark: tuple(F.col(f"{mark}{c}") for c in ("x1", "y1", "x2", "y2"))
-    edges = here.join(there, ["_cx", "_cy"]).where("a < b").where(g.segment_segment(corners(""), corners("_")) <= touch).select("a", "b").distinct()
+    edges = grid.linked_segments(ids, touch, max(size / 4, touch))
     alone = segs.select(F.col(id_col).alias("a"), F.col(id_col).alias("b")).distinct()
     found = connected_components(edges.unionByName(alone))
     sizes = segs.groupBy(id_col).agg(F.max("to").alias("length"))
