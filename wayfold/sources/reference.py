@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.functions import geometry as g
 from wayfold.functions import text as t
 from wayfold.operators import grid, polyline
 from wayfold.operators.components import connected_components, cut
