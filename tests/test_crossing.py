@@ -6,8 +6,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from wayfold.operators import crossing, topology
+from wayfold.functions import geometry as g
+from wayfold.operators import crossing, grid, topology
 
 
 @pytest.fixture
@@ -84,3 +86,24 @@ def test_counted_pairs_by_blocks_equal_every_pair(spark, small, monkeypatch, blo
     assert {(r.a, r.b): (r.n, r.least) for r in df.collect()} == want
     if block > 300:
         assert "Exchange" not in _plan(df)
+
+
+def test_distance_join_deals_few_rows_to_all_partitions_and_splits_cells(spark, monkeypatch):
+    monkeypatch.setattr(grid, "BLOCK", 16)  # crowded cells go to several partitions
+    rng = np.random.default_rng(3)
+    p, o = rng.uniform(0, 9, (150, 2)).round(1).tolist(), rng.uniform(0, 9, (90, 2)).round(1).tolist()
+    one = spark.createDataFrame([(i, *v) for i, v in enumerate([*p, [float("nan"), 1.0]])], "i int, x double, y double")
+    two = spark.createDataFrame([(j, *v) for j, v in enumerate(o)], "j int, ox double, oy double")
+    df = grid.grid_distance_join(one, two, 2.0).select("i", "j", "distance")
+    want = {(i, j): math.hypot(a - c, b - d) for i, (a, b) in enumerate(p) for j, (c, d) in enumerate(o) if math.hypot(a - c, b - d) <= 2.0}
+    found = df.collect()
+    assert len(found) == len(want) and {(r.i, r.j): r.distance for r in found} == pytest.approx(want)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_rounded_equals_round(spark):
+    rng = np.random.default_rng(1)
+    values = [*(rng.uniform(-9, 9, 3000)).tolist(), *(rng.integers(-9000, 9000, 3000) / 2000).tolist(), 0.0005, 1.0005, 2.5e-7, 4e9 + 0.00049, -0.0, None, math.inf]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (3, 6):
+        assert df.where(~F.round("v", places).eqNullSafe(g.rounded(F.col("v"), places))).count() == 0
