@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as g
 from wayfold.operators import grid, lines, relations
-from wayfold.operators.components import connected_components
+from wayfold.operators.components import connected_components, cut
 from wayfold.plans import matching
 
 
@@ -29,6 +29,31 @@ def test_contenders_own_what_all_candidates_own(spark):
     assert all(abs(cheap[(r.part, r.sample, r["class"])] - r.cost) < 1e-9 for r in matching.nearest_atoms(s, a).collect())
 
 
+def test_a_block_without_a_class_that_is_still_sought(spark):
+    """Samples that have found class 1 go on for class 2, which is elsewhere: their cells hold no atom of it."""
+    atoms = [(e, 1, 40.0 * k, e / 5.0, 40.0 * k + 40.0, e / 5.0) for e in range(60) for k in range(6)] + [(99, 2, 900.0, 0.0, 940.0, 0.0)]
+    a = spark.createDataFrame(atoms, "edge long, class int, x1 double, y1 double, x2 double, y2 double")
+    s = spark.createDataFrame([(1000, k, 5.0 * k, 6.0, 1.0, 0.0) for k in range(40)], "part long, sample long, x double, y double, tx double, ty double")
+    assert len(matching._reaches(a, 35.0, 0.2)) > 1
+    found = matching.nearest_atoms(s, a).collect()
+    assert sorted(r.sample for r in found) == list(range(40)) and {(r["class"], r.edge) for r in found} == {(1, 30)}
+
+
+def test_rows_whose_number_spark_does_not_know_are_not_broadcast(spark, monkeypatch):
+    """Spark takes rows behind an explode for as many as before it; the driver gets sizes of a few cells at most, and none of the rows."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    many = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(2999))).alias("sample"))
+    s = cut(many.select(F.lit(1).alias("part"), "sample", F.col("sample").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("tx"), F.lit(0.0).alias("ty")))
+    owned = cut(s.where("sample % 2 = 0").select("part", "sample", F.lit(5).alias("owner"), F.lit(1).alias("class")))
+    assert "Broadcast" not in plan(matching.coverage(s, owned)) + plan(matching.heal(owned, s))
+    others = s.select(F.col("sample").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    near = lambda: grid.near_blocks(s.select("sample", "x", "y"), others, 2.0, lambda p, o: p[["sample"]], "sample int")
+    assert "BuildLeft" not in plan(near())
+    some = near().distinct().count()
+    monkeypatch.setattr(grid, "CELLS", 0, raising=False)
+    assert "Broadcast" not in plan(near()) and near().distinct().count() == some == 3000
+
+
 def test_few_segments_are_held_by_every_task(spark, monkeypatch):
     """The same distances whether tasks hold the segments or search for them, and no search at all where they are few."""
     rng = random.Random(5)
