@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as g
@@ -54,6 +55,27 @@ def test_rows_whose_number_spark_does_not_know_are_not_broadcast(spark, monkeypa
     assert "Broadcast" not in plan(near()) and near().distinct().count() == some == 3000
 
 
+def test_lines_far_apart_in_a_block_are_not_compared(monkeypatch, spark):
+    """The same links, but a line meets only those whose boxes come near its own, and none that has been reached."""
+    rng, taken, pairs = random.Random(8), [], []
+    lines_ = [(k, x, y, x + rng.uniform(-1, 1), y + rng.uniform(-1, 1)) for k, (x, y) in enumerate((rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(300))]
+    lines_ += [(k + 300, 5.0, 5.0, 6.0 + k / 100, 6.0) for k in range(200)] + [(500, float("nan"), 1.0, 2.0, 2.0)]
+    df = spark.createDataFrame(lines_, "a long, x1 double, y1 double, x2 double, y2 double")
+    with monkeypatch.context() as m:
+        m.setattr(grid, "in_blocks", lambda here, there, mine, theirs, work, schema, block=0: taken.append(work) or spark.createDataFrame([], schema))
+        grid.linked_segments(df, 0.05, 0.5)
+    one = df.toPandas().rename(columns={"a": "_a"})
+    two = df.toPandas().set_axis(["_b", "_x1", "_y1", "_x2", "_y2"], axis=1)
+    every = grid.segment_gaps([one[c].to_numpy()[:, None] for c in one.columns[1:]], [one[c].to_numpy() for c in one.columns[1:]]) <= 0.05
+    want = np.arange(len(one))
+    grid.merge(want, *np.nonzero(every))
+    gaps = grid.segment_gaps
+    monkeypatch.setattr(grid, "segment_gaps", lambda a, b: pairs.append(len(a[0]) * len(b[0])) or gaps(a, b))
+    found = taken[0](one, two)
+    assert dict(zip(found["a"], found["b"], strict=True)) == dict(enumerate(want.tolist()))
+    assert sum(pairs) < len(one) ** 2 / 50
+
+
 def test_few_segments_are_held_by_every_task(spark, monkeypatch):
     """The same distances whether tasks hold the segments or search for them, and no search at all where they are few."""
     rng = random.Random(5)
